@@ -29,6 +29,12 @@ DOCUMENT_EXTENSIONS = ["txt", "md", "json", "csv", "xml", "yaml", "yml", "html",
 VERSIONED_KEY = r"^(?:(.*)/)?v0*([1-9][0-9]*)(?:/.*)?$"
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``; a lambda that named the
+    expression itself would evaluate it again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, at least two bytes, no stopwords."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
