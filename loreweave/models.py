@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.operators.vector import is_zero_vector
+
 Embedder = Callable[[list[str]], list[list[float]]]
 Completer = Callable[[list[str]], list[str]]
 
@@ -26,7 +28,7 @@ def hashing_embedder(dim: int = 64) -> Embedder:
         for row, body in enumerate(texts):
             for word in (body or "").lower().split():
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                out[row, h % dim] += 1.0 if (h >> 32) & 1 else -1.0
+                out[row, h % dim] += 1.0
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).astype("float32").tolist()
 
@@ -48,65 +50,30 @@ def _batched(df: DataFrame, fn, source: str, target: str, kind: str, batch: int,
             raise ValueError(f"model returned {len(got)} results for {len(part)} inputs")
         return got
 
-    @F.pandas_udf(kind)
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in columns:
             values = column.fillna("").tolist()
-            yield pd.Series([r for at in range(0, len(values), batch) for r in call(values[at : at + batch])])
+            yield pd.Series([r for at in range(0, len(values), batch) for r in call(values[at : at + batch])], dtype=object)
 
-    return df.withColumn(target, run(F.col(source)))
+    return df.withColumn(target, F.pandas_udf(run, kind)(F.col(source)))
 
 
-def embed(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dim))
-        for row, body in enumerate(texts):
-            for word in (body or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                out[row, h % dim] += 1.0 if (h >> 32) & 1 else -1.0
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norm == 0, 1, norm)).astype("float32").tolist()
-
-    return embed
-
-
-def _batched(df: DataFrame, fn, source: str, target: str, kind: str, batch: int, retries: int) -> DataFrame:
-    out_schema = f"{df.select(*[c for c in df.columns if c != target]).schema.simpleString()[7:-1]},{target}:{kind}"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results: list = []
-            values = frame[source].fillna("").tolist()
-            for at in range(0, len(values), batch):
-                part = values[at : at + batch]
-                for attempt in range(retries):
-                    try:
-                        got = fn(part)
-                        break
-                    except Exception:
-                        if attempt + 1 == retries:
-                            raise
-                if len(got) != len(part):
-                    raise ValueError(f"model returned {len(got)} results for {len(part)} inputs")
-                results.extend(got)
-            yield frame.assign(**{target: results})
-
-    return df.drop(target).mapInPandas(run, out_schema)
-
-
-def embed(df: DataFrame, embedder: Embedder, source: str = "text", target: str = "embedding", batch: int = 20, retries: int = 3) -> DataFrame:
+def embed(
+    df: DataFrame, embedder: Embedder, source: str = "text", target: str = "embedding", batch: int = 20, retries: int = 3
+) -> DataFrame:
     """Add a vector column; the result count of each call is checked."""
     return _batched(df, embedder, source, target, "array<float>", batch, retries)
 
 
-def complete(df: DataFrame, completer: Completer, source: str = "prompt", target: str = "answer", batch: int = 20, retries: int = 3) -> DataFrame:
+def complete(
+    df: DataFrame, completer: Completer, source: str = "prompt", target: str = "answer", batch: int = 20, retries: int = 3
+) -> DataFrame:
     """Add an answer column to a table of prompts."""
     return _batched(df, completer, source, target, "string", batch, retries)
 
 
 def reembed_zero_vectors(facts: DataFrame, embedder: Embedder, batch: int = 20) -> DataFrame:
     """Give facts whose vector is all zeros a fresh one; others pass unchanged."""
-    from loreweave.operators.vector import is_zero_vector
-
     zero = is_zero_vector(F.col("embedding")) & (F.coalesce("fact_value", F.lit("")) != "")
     fresh = embed(facts.filter(zero), embedder, "fact_value", "embedding", batch)
     return facts.filter(~zero).unionByName(fresh)

@@ -162,6 +162,9 @@ def knn_batch(
         left = asked.withColumns({"_g": bucket(), "_q": own("query_id", q_splits)}).withColumn("_r", every(r_splits))
         right = held.withColumns({"_g": bucket(), "_r": own(key, r_splits)}).withColumn("_q", every(q_splits))
 
+        # Fresh column identities: both sides may come from the same table.
+        left, right = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
+
         def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=empty)

@@ -105,6 +105,11 @@ DERIVED = {
         FROM {documents} d JOIN {embeddings} e ON e.vec_id = d.doc_id % 500""",
     "fact_vectors": """
         SELECT f.*, e.embedding FROM {facts} f JOIN {embeddings} e ON e.vec_id = f.event_id % 500""",
+    "asks": """
+        SELECT item_id AS query_id, text, e.embedding FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id % 500""",
+    "peer_facts": """
+        SELECT vault, CASE WHEN version = 1 AND fact_key LIKE '%/click' THEN concat('peer/', split_part(fact_key, '/', 1), '/card/profile') ELSE fact_key END AS fact_key,
+          fact_value, tags_csv, status, conflict_resolved, created_at, updated_at, valid_from, valid_until FROM {facts}""",
     "linked_docs": """
         SELECT doc_id, concat('doc/', doc_id, '.md') AS path, concat(text, chr(10), chr(10), 'see [[doc/', (doc_id * 7) % 1000, '.md|x#y]] and [t](doc/',
           (doc_id * 3) % 1000, '.md#a) or [w](http://x.y/z) and [[', (doc_id + 5) % 1000, ']] at doc/', (doc_id * 11) % 1000, '.md.') AS text
