@@ -107,6 +107,11 @@ DERIVED = {
         SELECT f.*, e.embedding FROM {facts} f JOIN {embeddings} e ON e.vec_id = f.event_id % 500""",
     "asks": """
         SELECT item_id AS query_id, text, e.embedding FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id % 500""",
+    "dialogue": """
+        SELECT session_id, turn_id, role, created_at, concat(content, CASE
+          WHEN role = 'assistant' THEN CASE turn_id % 4 WHEN 1 THEN concat(chr(10), 'Now run the build of ', session_id) ELSE ' Then check the config; we will use the new plan.' END
+          WHEN length(content) % 3 = 0 THEN ' That works, the design is fine.' WHEN length(content) % 3 = 1 THEN ' It failed with a bug.' ELSE '' END) AS content
+        FROM {turns}""",
     "peer_facts": """
         SELECT vault, CASE WHEN version = 1 AND fact_key LIKE '%/click' THEN concat('peer/', split_part(fact_key, '/', 1), '/card/profile') ELSE fact_key END AS fact_key,
           fact_value, tags_csv, status, conflict_resolved, created_at, updated_at, valid_from, valid_until FROM {facts}""",
