@@ -83,7 +83,7 @@ def _move(edges: DataFrame, degree: DataFrame, labels: DataFrame, total: float,
     return best.select("node", F.when(better & way, F.col("top.label")).otherwise(F.col("mine")).alias("label"))
 
 
-def detect(edges: DataFrame, nodes: DataFrame, max_levels: int = 10, max_passes: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def detect(edges: DataFrame, nodes: DataFrame, max_levels: int = 10, max_passes: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """``(node, label)`` for every node: local moves, collapse, repeat.
 
     A pass is kept only when modularity rises, so the result is never worse than all
