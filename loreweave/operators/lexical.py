@@ -31,8 +31,9 @@ def collection_stats(docs: DataFrame, body: str = "text") -> DataFrame:
 
 
 def term_stats(index: DataFrame) -> DataFrame:
-    """Document frequency per term, from postings."""
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequency per term, from postings. Counting ``tf`` keeps the columns of
+    the index the same as in its other uses, so its shuffle is shared."""
+    return index.groupBy("term").agg(F.count("tf").alias("df"))
 
 
 def query_terms(queries: DataFrame, body: str = "text") -> DataFrame:
@@ -72,7 +73,7 @@ def bm25(
         norm = F.when(mean > 0, 1 - b + b * (F.col("doc_len") / mean)).otherwise(1.0)
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    weighted = wanted.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
+    weighted = wanted.join(term_stats(hits), "term").select(
         "query_id", "term", "times", idf.alias("idf")
     )
     part: Column = F.col("times") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)

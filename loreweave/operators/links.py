@@ -100,22 +100,34 @@ def path_references(docs: DataFrame, paths: DataFrame) -> DataFrame:
     """
     known = paths.select(F.col("path").alias("target_path")).distinct()
     most_words = known.agg(F.coalesce(F.max(F.regexp_count("target_path", F.lit(" "))), F.lit(0)) + 1).scalar()
-    segments = F.split("text", "[\t\n\"'`]")
-    spans = docs.select("path", F.explode(segments).alias("_s")).select("path", F.posexplode(F.split("_s", " ")).alias("_i", "_w"), F.split("_s", " ").alias("_all"))
-    grams = spans.filter(F.col("_w") != "").withColumn("_most", most_words).select(
-        "path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("_most"), F.size("_all") - F.col("_i"))), lambda n: F.array_join(F.slice("_all", F.col("_i") + 1, n), " "))).alias("_g"),
-    )
-    starts = F.concat(F.array("_g"), F.transform(F.filter(F.sequence(F.lit(1), F.length("_g")), lambda i: F.substr("_g", i, F.lit(1)) == "("), lambda i: F.substr(F.col("_g"), i + 1)))
-    opened = grams.select("path", F.explode(starts).alias("_c")).filter(F.col("_c") != "")
-    ends = F.concat(
-        F.array("_c"),
-        F.transform(
-            F.filter(F.sequence(F.lit(2), F.greatest(F.length("_c"), F.lit(2))), lambda i: F.substr("_c", i, F.lit(1)).isin(*").,}>")),
-            lambda i: F.substr(F.col("_c"), F.lit(1), i - 1),
-        ),
+
+    def grams(words: Column, most: Column) -> Column:
+        """Runs of up to ``most`` words of one segment."""
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.size(words) - 1),
+                lambda i: F.transform(
+                    F.sequence(F.lit(1), F.least(most, F.size(words) - i)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")
+                ),
+            )
+        )
+
+    def places(c: Column, chars: str) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)).isin(*chars))
+
+    segments = docs.select("path", F.explode(F.split("text", "[\t\n\"'`]")).alias("_s")).filter(F.col("_s") != "").withColumn("_most", most_words)
+    words = segments.select("path", F.explode(text.let(F.split("_s", " "), lambda w: grams(w, F.col("_most")))).alias("_g")).filter(F.col("_g") != "")
+    # Most words hold no bracket and no closing character, so they stay as they are.
+    whole = F.array("_g")
+    starts = F.when(F.col("_g").contains("("), F.concat(whole, F.transform(places(F.col("_g"), "("), lambda i: F.substr(F.col("_g"), i + 1)))).otherwise(whole)
+    opened = words.select("path", F.explode(starts).alias("_c")).filter(F.col("_c") != "")
+    alone = F.array("_c")
+    ends = F.when(
+        F.col("_c").rlike(r"[).,}>]"), F.concat(alone, F.transform(places(F.col("_c"), ").,}>"), lambda i: F.substr(F.col("_c"), F.lit(1), i - 1)))
+    ).otherwise(alone)
+    candidates = opened.select("path", F.explode(ends).alias("target_path")).filter(
+        (F.col("target_path") != F.col("path")) & (F.col("target_path") != "")
     )
-    candidates = opened.select("path", F.explode(ends).alias("target_path")).filter(F.col("target_path") != F.col("path"))
     pairs = candidates.join(known, "target_path").distinct().join(docs.select("path", "text"), "path")
     idx = F.expr("locate(target_path, text)") - 1
     previous = F.substr("text", idx, F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave import skew
 from loreweave.functions import text
 from loreweave.operators.sessions import BLOCK, placed
+from loreweave.session import durable
 
 MAX_GAP = 3
 MIN_STEPS = 3
@@ -39,10 +40,24 @@ def is_action(content: Column) -> Column:
     return text.any_of(F.lower(content), STEP_MARKS + ACTION_WORDS)
 
 
-def action_turns(turns: DataFrame) -> DataFrame:
+def marked_turns(turns: DataFrame) -> DataFrame:
+    """What procedures need of each turn, with its position: flags and the two short
+    lines, so no full text is shuffled. Written once and read by every step below."""
+    low = F.lower("content")
+    slim = turns.select(
+        "session_id", "turn_id",
+        ((F.col("role") == "assistant") & is_action(F.col("content"))).alias("action"),
+        F.col("role").isin("user", "system").alias("listener"),
+        text.any_of(low, NEGATIVE).alias("bad"), text.any_of(low, POSITIVE).alias("good"),
+        step_text(F.col("content")).alias("step"), trigger_text(F.col("content")).alias("trigger"),
+    )
+    return durable(placed(slim))
+
+
+def action_turns(marked: DataFrame) -> DataFrame:
     """Action turns with ``pos`` and the number ``run`` of their run in the session;
     a gap of more than three turns starts a new run."""
-    actions = placed(turns).filter((F.col("role") == "assistant") & is_action(F.col("content")))
+    actions = marked.filter("action")
     segment = F.floor(F.col("pos") / BLOCK)
     before = skew.neighbour(actions, ["session_id"], segment, [F.col("pos")], F.struct("pos"), "_before", ahead=False)
     fresh = F.when(F.col("_before").isNull() | (F.col("pos") - F.col("_before.pos") > MAX_GAP), 1).otherwise(0)
@@ -55,18 +70,12 @@ def action_runs(actions: DataFrame) -> DataFrame:
     )
 
 
-def with_outcome(runs: DataFrame, turns: DataFrame) -> DataFrame:
+def with_outcome(runs: DataFrame, marked: DataFrame) -> DataFrame:
     """Add ``success``: the user or system says so within the two following turns, and
     nothing in them says otherwise."""
-    low = F.lower("content")
-    spoken = placed(turns).filter(F.col("role").isin("user", "system"))
-    marks = spoken.select(
-        "session_id", "pos", text.any_of(low, NEGATIVE).alias("_bad"), text.any_of(low, POSITIVE).alias("_good")
-    )
+    marks = marked.filter("listener").select("session_id", "pos", "bad", "good")
     after = runs.select("session_id", "run", F.explode(F.array(F.col("last_pos") + 1, F.col("last_pos") + 2)).alias("pos"))
-    judged = after.join(marks, ["session_id", "pos"]).groupBy("session_id", "run").agg(
-        F.max("_bad").alias("_bad"), F.max("_good").alias("_good")
-    )
+    judged = after.join(marks, ["session_id", "pos"]).groupBy("session_id", "run").agg(F.max("bad").alias("_bad"), F.max("good").alias("_good"))
     return (
         runs.join(judged, ["session_id", "run"], "left")
         .withColumn("success", F.coalesce(F.col("_good") & ~F.col("_bad"), F.lit(False)))
@@ -112,28 +121,24 @@ def procedure_key(name: Column, trigger: Column) -> Column:
     return F.concat(F.lit("procedure-"), F.substring(F.sha2(F.concat(name, F.lit("\0"), trigger), 256), 1, 12))
 
 
-def procedure_steps(turns: DataFrame) -> DataFrame:
+def procedure_steps(marked: DataFrame) -> DataFrame:
     """Steps of every run, one row each, ordered by ``pos``."""
-    steps = action_turns(turns).select("session_id", "run", "pos", step_text(F.col("content")).alias("step"))
-    return steps.filter(F.col("step") != "")
+    return action_turns(marked).select("session_id", "run", "pos", "step").filter(F.col("step") != "")
 
 
 def procedures(turns: DataFrame, min_steps: int = MIN_STEPS) -> DataFrame:
     """Successful runs of at least ``min_steps`` actions, named by their first two
     steps and the turn before them. The steps stay a table of their own."""
-    actions = action_turns(turns)
-    runs = with_outcome(action_runs(actions).filter(F.col("n_actions") >= min_steps), turns).filter("success")
-    steps = (
-        actions.select("session_id", "run", "pos", step_text(F.col("content")).alias("step"))
-        .filter(F.col("step") != "")
-        .join(runs.select("session_id", "run"), ["session_id", "run"], "left_semi")
-    )
+    marked = marked_turns(turns)
+    actions = durable(action_turns(marked).select("session_id", "run", "pos", "step"))
+    runs = with_outcome(action_runs(actions).filter(F.col("n_actions") >= min_steps), marked).filter("success")
+    steps = actions.filter(F.col("step") != "").join(runs.select("session_id", "run"), ["session_id", "run"], "left_semi")
     counts = steps.groupBy("session_id", "run").agg(F.count(F.lit(1)).alias("n_steps"))
     leading = skew.top_per_group(steps, ["session_id", "run"], [F.col("pos")], 2, "_no").groupBy("session_id", "run").agg(
         F.max(F.when(F.col("_no") == 1, summarize_step(F.col("step")))).alias("_one"),
         F.max(F.when(F.col("_no") == 2, summarize_step(F.col("step")))).alias("_two"),
     )
-    before = placed(turns).select("session_id", (F.col("pos") + 1).alias("first_pos"), trigger_text(F.col("content")).alias("_trigger"))
+    before = marked.select("session_id", (F.col("pos") + 1).alias("first_pos"), F.col("trigger").alias("_trigger"))
     more = F.concat(F.lit(" and "), F.lower(F.left("_two", F.lit(30))))
     name = F.concat("_one", F.when(F.col("_two").isNotNull() & (F.col("_two") != F.col("_one")), more).otherwise(""))
     trigger = F.when(F.coalesce("_trigger", F.lit("")) == "", "Agent initiated action sequence").otherwise(F.col("_trigger"))

@@ -147,12 +147,13 @@ OUTCOME = f"""(SELECT r.*, coalesce(bool_or(good) AND NOT bool_or(bad), false) A
 
 @query("action_runs", "W5", RUNS)
 def _(t):
-    return pr.action_runs(pr.action_turns(t.dialogue))
+    return pr.action_runs(pr.action_turns(pr.marked_turns(t.dialogue)))
 
 
 @query("positive_outcome", "W6", f"SELECT session_id, run, success FROM {OUTCOME}")
 def _(t):
-    return pr.with_outcome(pr.action_runs(pr.action_turns(t.dialogue)), t.dialogue).select("session_id", "run", "success")
+    marked = pr.marked_turns(t.dialogue)
+    return pr.with_outcome(pr.action_runs(pr.action_turns(marked)), marked).select("session_id", "run", "success")
 
 
 STEP = f"""coalesce(list_filter(L, lambda x: NOT starts_with(x, '#') AND NOT starts_with(x, '//') AND length(x) > 5 AND length(x) < 200)[1],
@@ -162,7 +163,7 @@ STEPS = f"(SELECT session_id, run, pos, {STEP} AS step FROM (SELECT *, list_tran
 
 @query("procedure_steps", "L19", f"SELECT session_id, run, pos, step FROM {STEPS} WHERE step <> ''")
 def _(t):
-    return pr.procedure_steps(t.dialogue)
+    return pr.procedure_steps(pr.marked_turns(t.dialogue))
 
 
 def _summary(step):

@@ -124,6 +124,16 @@ DERIVED = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+TEXT_TABLES = ["documents", "conversations"]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan with fewer splits than cores among the cores, because text work is
+    CPU-bound. A large table has more splits than cores and is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 class Tables:
     """Attribute access to base and derived tables of one scale-factor folder."""
 
@@ -135,7 +145,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in BASE:
-                self._seen[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+                table = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+                self._seen[name] = spread(table) if name in TEXT_TABLES else table
             elif name in DERIVED:
                 sql = DERIVED[name]
                 self._seen[name] = self.sql(sql)
