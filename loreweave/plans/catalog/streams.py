@@ -92,9 +92,7 @@ def _(t):
     SELECT vault, fact_key, fact_value, CASE WHEN version < max(version) OVER (PARTITION BY vault, regexp_extract(fact_key, '^(.*)/v[0-9]+/', 1)) THEN 'superseded' ELSE 'active' END AS status,
       {NOW} AS created_at FROM facts""")
 def _(t):
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in FACT_COLUMNS.items()))
+    schema = ", ".join(f"{n} {k}" for n, k in FACT_COLUMNS.items())
     base = f"{shared_dir(t.spark).rstrip('/')}/facts-{jobs.uuid.uuid4().hex}"
     table = jobs.VersionedTable(t.spark, f"{base}/table", schema)
     incoming = with_lists(derived_stream(t, "facts_in"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loreweave.functions import text
 from loreweave.operators import chunking, facts, lifecycle
@@ -70,7 +71,8 @@ class VersionedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def _dir(self, n: int) -> str:
         return f"{self.path}/v{n:08d}"
@@ -112,7 +114,7 @@ def index_files_batch(table: VersionedTable, as_of, max_tokens: int = 2000) -> C
 
 def stream_vault(spark: SparkSession, path: str, vault: str) -> DataFrame:
     """New and rewritten files of a vault folder as a stream of whole documents."""
-    raw = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    raw = spark.readStream.schema("value string").option("recursiveFileLookup", "true").text(path, wholetext=True)
     relative = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1)
     docs = raw.select(F.lit(vault).alias("vault"), relative.alias("path"), F.col("value").alias("text"))
     return docs.filter(text.is_indexable(F.col("path")))
