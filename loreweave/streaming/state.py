@@ -45,7 +45,7 @@ class Cooldown(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame({c: [] for c in self.columns})
+        yield from ()
 
     def close(self) -> None:
         pass
