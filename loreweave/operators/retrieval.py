@@ -45,7 +45,7 @@ def recall_dense(queries: DataFrame, chunks: DataFrame, key: str, k: int = 10, t
 
 
 def recall_sparse(queries: DataFrame, chunks: DataFrame, key: str, k: int = 10, detail: str = "l2") -> DataFrame:
-    """BM25 returns twice ``k``, as the lexical path of the reference behaviour does."""
+    """Twice ``k`` results per query, as for the lexical half of hybrid recall."""
     index = lexical.postings(chunks, key)
     hits = lexical.bm25(queries, index, lexical.collection_stats(chunks), key, 2 * k)
     return fetch_ranked(hits, chunks.drop("embedding"), key, detail)
@@ -340,7 +340,7 @@ def agent_context(agent_card: DataFrame, chain: DataFrame, summaries: DataFrame,
         _section(agent_card, "peer_card", "fact_key", "fact_value", F.lit(1)),
         _section(chain.filter(ff.present(F.col("fact_value"))), "fact_chain", "relationship", "fact_value", F.lit(1)),
         _section(
-            skew.first_per_key(summaries.withColumn("_all", F.lit(1)), ["_all"], [F.desc("created_at"), F.desc("fact_key")]),
+            summaries.orderBy(F.desc("created_at"), F.desc("fact_key")).limit(1),
             "session_summary", "fact_key", "fact_value", F.lit(1),
         ),
         _section(
