@@ -36,6 +36,16 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("tf").alias("df"))
 
 
+def document_frequency(docs: DataFrame, body: str = "text") -> DataFrame:
+    """Document frequency per term straight from the texts: each document names a term
+    once, so only partial counts per term are shuffled, not (document, term) rows."""
+    return (
+        docs.select(F.explode(F.array_distinct(text.tokens(F.col(body)))).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+
+
 def query_terms(queries: DataFrame, body: str = "text") -> DataFrame:
     """``(query_id, term, times)``: repeated query terms count repeatedly."""
     return (
@@ -54,16 +64,20 @@ def bm25(
     k1: float = K1,
     b: float = B,
     variant: str = "reference",
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``limit`` documents per query, ties by key.
 
     ``reference`` normalises by ``b * len / mean`` and floors the idf at zero;
-    ``okapi`` is the textbook form. The query side is small, so the optimiser
+    ``okapi`` is the textbook form. ``frequencies(term, df)`` spares counting them from
+    an index that is not stored. The query side is small, so the optimiser
     broadcasts it by its own size check and falls back to a shuffle join.
     """
     n, mean = stats.select(F.col("n_docs")).scalar(), stats.select(F.col("avg_len")).scalar()
     wanted = query_terms(queries)
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    asked = wanted.select("term").distinct()
+    hits = index.join(asked, "term", "left_semi")
+    known = term_stats(hits) if frequencies is None else frequencies.join(asked, "term", "left_semi")
     df = F.col("df")
     if variant == "reference":
         idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(0.0))
@@ -73,7 +87,7 @@ def bm25(
         norm = F.when(mean > 0, 1 - b + b * (F.col("doc_len") / mean)).otherwise(1.0)
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    weighted = wanted.join(term_stats(hits), "term").select(
+    weighted = wanted.join(known, "term").select(
         "query_id", "term", "times", idf.alias("idf")
     )
     part: Column = F.col("times") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)

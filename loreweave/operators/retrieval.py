@@ -47,15 +47,16 @@ def recall_dense(queries: DataFrame, chunks: DataFrame, key: str, k: int = 10, t
 def recall_sparse(queries: DataFrame, chunks: DataFrame, key: str, k: int = 10, detail: str = "l2") -> DataFrame:
     """Twice ``k`` results per query, as for the lexical half of hybrid recall."""
     index = lexical.postings(chunks, key)
-    hits = lexical.bm25(queries, index, lexical.collection_stats(chunks), key, 2 * k)
+    hits = lexical.bm25(queries, index, lexical.collection_stats(chunks), key, 2 * k, frequencies=lexical.document_frequency(chunks))
     return fetch_ranked(hits, chunks.drop("embedding"), key, detail)
 
 
 def hybrid_ranking(queries: DataFrame, chunks: DataFrame, key: str, k: int = 10, threshold: float | None = None, index: DataFrame | None = None) -> DataFrame:
     """Dense and lexical top ``2k``, fused and cut to ``k``."""
+    frequencies = lexical.document_frequency(chunks) if index is None else None
     index = lexical.postings(chunks, key) if index is None else index
     dense = vector.knn_batch(queries, chunks, key, 2 * k, threshold)
-    sparse = lexical.bm25(queries, index, lexical.collection_stats(chunks), key, 2 * k)
+    sparse = lexical.bm25(queries, index, lexical.collection_stats(chunks), key, 2 * k, frequencies=frequencies)
     return rrf(named(dense, "dense", key).unionByName(named(sparse, "lexical", key)), key, k)
 
 

@@ -45,7 +45,8 @@ def dense(t, k=10):
 
 
 def sparse(t, k=20, variant="reference"):
-    return lx.bm25(t.asks, lx.postings(t.chunks, "doc_id"), lx.collection_stats(t.chunks), "doc_id", k, variant=variant)
+    return lx.bm25(t.asks, lx.postings(t.chunks, "doc_id"), lx.collection_stats(t.chunks), "doc_id", k, variant=variant,
+                   frequencies=lx.document_frequency(t.chunks))
 
 
 @query("cosine", "D1", f"SELECT a.vec_id, {cos('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500")
@@ -185,6 +186,11 @@ def _(t):
     return sparse(t, variant="okapi")
 
 
+@query("bm25_from_index", "E1", f"SELECT query_id, doc_id, score, rank FROM {LEXICAL} WHERE rank <= 20")
+def _(t):
+    return lx.bm25(t.asks, lx.postings(t.chunks, "doc_id"), lx.collection_stats(t.chunks), "doc_id", 20)
+
+
 @query("rrf", "E2,S1", f"SELECT query_id, doc_id, score, sources FROM {FUSED}")
 def _(t):
     lists = rt.named(dense(t, 20), "dense", "doc_id").unionByName(rt.named(sparse(t), "lexical", "doc_id"))
