@@ -5,3 +5,10 @@ Nothing here reads the wall clock: operators that depend on time take ``as_of``.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no install.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
