@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,13 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session, where driver and executors share one disk, may fall back to a
-    temporary folder.
+    session, where driver and executors are one process on one disk, may fall back
+    to a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -54,6 +55,19 @@ def durable(df: DataFrame) -> DataFrame:
     sizes, and carries no inferred constraints from pass to pass. Losing executors
     costs nothing: the next stage reads the files again.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables written by ``durable`` that nothing reads any more."""
+    for table in tables:
+        path = table.__dict__.pop("_durable_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder.getFileSystem(conf).delete(folder, True)
