@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.llm import mixing
+from loreweave.llm import mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": mixing.op3,
+    "op5_simhash_near_duplicates": simhash.op5,
 }
 
 ORACLES: dict[str, str] = {
