@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.llm import decontam, mixing, simhash
+from loreweave.llm import decontam, linededup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": linededup.op2,
     "op3_mix_sources": mixing.op3,
     "op5_simhash_near_duplicates": simhash.op5,
     "op7_decontaminate": decontam.op7,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": linededup.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
 }
