@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.llm import decontam, linededup, mixing, simhash
+from loreweave.llm import decontam, linededup, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1,
     "op2_line_dedup": linededup.op2,
     "op3_mix_sources": mixing.op3,
     "op5_simhash_near_duplicates": simhash.op5,
