@@ -80,7 +80,7 @@ def phrase_starts(index: DataFrame, rare: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Exact occurrences of ``phrases(phrase_id, words)`` in ``keyed`` documents:
-    ``(phrase_id, doc_id, _hash, start, n_words)``. Repeated phrase ids count once;
+    ``(phrase_id, doc_id, _hash, start, n_words, doc_words)``. Repeated phrase ids count once;
     phrases without words occur nowhere.
 
     Terms are written before they meet the texts, so their size decides how they are
@@ -99,10 +99,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi")
     texts = texts.dropDuplicates(["doc_id", "_hash"])
     met = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")))
-    met = met.select("doc_id", "_hash", "words", F.explode("places").alias("p"))
+    met = met.select("doc_id", "_hash", "words", F.size("words").cast("long").alias("doc_words"), F.explode("places").alias("p"))
     n = F.size("p.phrase")
     exact = F.filter("p.starts", lambda s: F.slice("words", s + 1, n) == F.col("p.phrase"))
-    return met.select("p.phrase_id", "doc_id", "_hash", n.alias("n_words"), F.explode(exact).alias("start"))
+    return met.select("p.phrase_id", "doc_id", "_hash", n.alias("n_words"), "doc_words", F.explode(exact).alias("start"))
 
 
 def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
@@ -139,20 +139,17 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: ``n_words``, ``n_hit`` (words inside any
-    occurrence of a window), ``item_ids`` (sorted as strings) and ``contaminated``
-    (``n_hit > 0`` and ``share * n_hit >= n_words``), all columns of ``docs`` kept.
-
-    Null and empty texts have no words and are clean. Without items all is clean.
-    Items with a null id count, their id is no part of ``item_ids``. Rows that share id
-    and text get the same result, each its own row. Names starting with ``_`` are
-    reserved; the four result names replace columns of ``docs`` so called.
-    """
+def hit_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """For each document with an occurrence of a window: ``(_d, _h)``, its id and text
+    hash, ``n_hit``, ``n_items``, ``item_ids`` and ``contaminated``."""
     parts = durable(windows(items, size))
     found = phrase_matches(keyed(docs), parts.select("phrase_id", "words"))
+    spans = durable(
+        found.groupBy("doc_id", "_hash", "start").agg(
+            F.max("n_words").alias("n"), F.max("doc_words").alias("doc_words"), F.collect_set("phrase_id").alias("ids")
+        )
+    )
     # Overlapping occurrences: words covered by sorted spans, counted past the last end.
-    spans = durable(found.groupBy("doc_id", "_hash", "start").agg(F.max("n_words").alias("n"), F.collect_set("phrase_id").alias("ids")))
     cover = F.aggregate(
         F.sort_array(F.collect_list(F.struct("start", "n"))),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
@@ -162,29 +159,47 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
         ),
         lambda acc: acc["hit"],
     )
-    hits = spans.groupBy("doc_id", "_hash").agg(cover.cast("long").alias("n_hit"))
+    hits = spans.groupBy("doc_id", "_hash").agg(cover.cast("long").alias("n_hit"), F.max("doc_words").alias("doc_words"))
     ids = (
         spans.select("doc_id", "_hash", F.explode("ids").alias("phrase_id")).distinct()
-        .join(parts.select("phrase_id", "item_id").distinct(), "phrase_id")
+        .join(durable(parts.select("phrase_id", "item_id").distinct()), "phrase_id")
         .groupBy("doc_id", "_hash")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"), F.count_distinct(F.struct("item_id")).alias("n_items"))
+        .withColumnsRenamed({"doc_id": "_d", "_hash": "_h"})
     )
-    per_doc = durable(hits.join(ids, hits["doc_id"].eqNullSafe(ids["doc_id"]) & (hits["_hash"] == ids["_hash"])).select(
-        hits["doc_id"].alias("_d"), hits["_hash"].alias("_h"), "n_hit", "item_ids", "n_items"
-    ))
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "n_items", "contaminated")]
-    counted = docs.select(*kept).withColumn("_hash", F.xxhash64("text")).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    both = hits.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")))
+    bad = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("doc_words"))
+    return durable(both.select("_d", "_h", "n_hit", "n_items", "item_ids", bad.alias("contaminated")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: ``n_words``, ``n_hit`` (words inside any
+    occurrence of a window), ``n_items``, ``item_ids`` (sorted as strings) and
+    ``contaminated`` (``n_hit > 0`` and ``share * n_hit >= n_words``).
+
+    Null and empty texts have no words and are clean. Without items all is clean.
+    Items with a null id count, their id is no part of ``item_ids``. Rows that share id
+    and text get the same result, each its own row. Other columns are ignored.
+    """
+    per_doc = hit_documents(docs, items, size, share)
+    counted = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     return counted.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").select(
-        *kept,
+        "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, columns as they are."""
+    bad = durable(hit_documents(docs, items, size, share).filter("contaminated").select("_d", "_h"))
+    of = docs.withColumn("_hash", F.xxhash64("text"))
+    return of.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -219,7 +234,3 @@ def op7(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
     )
 
-
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, columns as they are."""
-    return contamination(docs, items).filter(~F.col("contaminated")).select(*docs.columns)

@@ -216,26 +216,37 @@ def score(described: DataFrame, model: Model) -> DataFrame:
     return described.select(*kept, "stats").mapInArrow(run, kind)
 
 
+def learn(described: DataFrame, labels: DataFrame, train: Column) -> Model:
+    """A model from ``described(doc_id, stats)`` and ``labels(doc_id, label)`` of
+    documents for which ``train`` holds. A label without a document, a null label and
+    a null id teach nothing; repeated labels each count, and rows that share an id take
+    the label each."""
+    known = labels.filter(train & F.col("label").isNotNull())
+    return fit(durable(described.join(known, "doc_id").select("stats", "label")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    """``(doc_id, _hash, score)`` per row of ``docs(doc_id, text)``, learned from
-    ``labels(doc_id, label)`` of documents for which ``train`` holds.
+    """``(doc_id, score)`` per row of ``docs(doc_id, text)``, learned as in ``learn``.
 
-    Only the text is looked at. Null and empty texts are scored like any other. A
-    label without a document, a null label and a null id teach nothing; repeated
-    labels each count. Rows that share an id and differ in text take the label each.
+    Only the text is looked at. Null and empty texts are scored like any other.
     """
-    described = durable(describe(docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")))
-    known = labels.filter(train & F.col("label").isNotNull())
-    model = fit(durable(described.join(known, "doc_id").select("stats", "label")))
-    return score(described, model)
+    described = durable(describe(docs.select("doc_id", "text")))
+    return score(described, learn(described, labels, train))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, columns as they are."""
-    scored = classify(docs, labels, train)
-    bad = scored.filter(F.col("score") < threshold).select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h")).distinct()
-    of = docs.withColumn("_hash", F.xxhash64("text"))
-    return of.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that score ``threshold`` or more, columns as they are. Texts
+    are judged where they are read: none is shuffled."""
+    model = learn(describe(docs.select("doc_id", "text")), labels, train)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                stats = np.array([statistics(t.as_py()) for t in b.column(at).cast(pa.binary())], dtype=np.float32)
+                yield b.filter(pa.array(model.score(stats.astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(key: Column) -> Column:

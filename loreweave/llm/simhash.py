@@ -292,14 +292,16 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     All columns stay as they are."""
     of = docs.withColumn("_hash", F.xxhash64("text"))
     marked = durable(fingerprints(of.select("doc_id", "_hash", "text"), shingle))
-    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
-    low = _groups(marked, who).select(F.col("first.doc_id").alias("_id"), F.col("first._hash").alias("_h")).distinct()
-    same = lambda x, y: x["doc_id"].eqNullSafe(y["_id"]) & (x["_hash"] == y["_h"])
-    rows = marked.groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    firsts = durable(rows.join(low, same(rows, low)).select("_id", "_h", "_rows"))
-    kept = of.join(firsts, same(of, firsts)).drop("_id", "_h")
-    once = kept.filter("_rows = 1").unionByName(kept.filter("_rows > 1").dropDuplicates(["doc_id", "_hash"]))
-    return once.select(*docs.columns)
+    low = _groups(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
+    rows = marked.groupBy("doc_id", "_hash", "fp").agg(F.count(F.lit(1)).alias("rows")).join(low, "fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_hash") == F.col("first._hash"))
+    verdict = durable(rows.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"), stays.alias("stays"), "rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
+    kept = of.join(durable(verdict.filter("not stays")), same, "left_anti")
+    equal = durable(verdict.filter("stays and rows > 1"))
+    if not equal.isEmpty():
+        kept = kept.join(equal, same, "left_anti").unionByName(kept.join(equal, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))
+    return kept.select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
