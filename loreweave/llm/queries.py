@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreweave.llm import decontam, linededup, mixing, quality, simhash
+from loreweave.llm import decontam, linededup, mixing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1,
     "op2_line_dedup": linededup.op2,
     "op3_mix_sources": mixing.op3,
     "op5_simhash_near_duplicates": simhash.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontam.op7,
     "pipeline": corpus_pipeline.run,
 }
