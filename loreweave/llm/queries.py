@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreweave.llm import decontam, linededup, mixing, quality, secrets, simhash, toxicity
+from loreweave.llm import decontam, linededup, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_duplicates": simhash.op5,
     "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontam.op7,
+    "op8_warc_bundles": warc.op8,
     "op10_secret_scan": secrets.op10,
     "pipeline": corpus_pipeline.run,
 }
@@ -24,6 +25,7 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
+    "op8_warc_bundles": warc.ORACLE,
 }
 
 

@@ -64,9 +64,10 @@ _NEAR = _walks()
 def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
     """Least guesses, as a power of ten, over all segmentations of ``value``.
 
-    Stops once every segmentation must cost ``enough``: parts span at most ``LONGEST``
-    letters, so a segmentation passes one of the last that many places, and costs only
-    grow. Runs in time linear in the length.
+    A repeat or walk is one part however long; other parts span at most ``LONGEST``
+    letters. So unless a longer repeat or walk is going on, a segmentation passes one of
+    the last that many places, and costs only grow: the search stops once all of them
+    cost ``enough``. Runs in time linear in the length.
     """
     low = value.lower()
     plain = low.translate(_UNLEET)
@@ -78,6 +79,10 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
         run = run + 1 if end > 1 and low[end - 2] == c else 1
         walk = walk + 1 if end > 1 and low[end - 2 : end] in _NEAR else 1
         least = best[end - 1] + BRUTE * (1.0 if c.isalnum() else 1.5)
+        if run > LONGEST:
+            least = min(least, best[end - run] + math.log10(12.0 * run) + PART)
+        if walk > LONGEST:
+            least = min(least, best[end - walk] + math.log10(40.0 * walk) + PART)
         for size in range(2, min(LONGEST, end) + 1):
             start = end - size
             cost = None
@@ -98,7 +103,7 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
             if cost is not None:
                 least = min(least, best[start] + cost + PART)
         best[end] = least
-        if enough < math.inf and min(best[max(0, end - LONGEST + 1) : end + 1]) >= enough:
+        if run <= LONGEST and walk <= LONGEST and min(best[max(0, end - LONGEST) : end + 1]) >= enough:
             return enough
     return best[n]
 
