@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreweave.llm import decontam, linededup, mixing, quality, secrets, simhash, toxicity, warc
+from loreweave.llm import ann, decontam, linededup, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1,
     "op2_line_dedup": linededup.op2,
     "op3_mix_sources": mixing.op3,
+    "op4_nearest_neighbours": ann.op4,
     "op5_simhash_near_duplicates": simhash.op5,
     "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontam.op7,
