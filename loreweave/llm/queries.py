@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreweave.llm import ann, decontam, linededup, mixing, quality, secrets, simhash, toxicity, warc
+from loreweave.llm import ann, decontam, linededup, lm, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontam.op7,
     "op8_warc_bundles": warc.op8,
+    "op9_lm_scoring": lm.op9,
     "op10_secret_scan": secrets.op10,
     "pipeline": corpus_pipeline.run,
 }
