@@ -95,8 +95,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = durable(flat.join(ids, ["a", "b"]).select(*DOC, "seq", "words", "rank"))
     runs = durable(shortest_runs(ranks, min_words).withColumn("level", F.floor(F.log2("length")).cast("int")))
     top = runs.agg(F.max("level")).first()[0]
-    named, now, spent = [], ranks.drop("words"), []
-    for level in range(0, -1 if top is None else top + 1):
+    named, now = [], ranks.drop("words")
+    for level in range(0, 0 if top is None else top + 1):
         if level:
             half = 1 << (level - 1)
             doc = Window.partitionBy(*DOC).orderBy("seq").rangeBetween(half, half)
@@ -110,8 +110,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         right = now.select(*[F.col(c).alias(f"_{c}2") for c in DOC], F.col("seq").alias("_s2"), F.col("rank").alias("right"))
         at = lambda n, place: F.col("doc_id").eqNullSafe(F.col(f"_doc_id{n}")) & (F.col("_hash") == F.col(f"__hash{n}")) & (F.col(f"_s{n}") == place)
         covered = mine.join(left, at(1, F.col("start"))).join(right, at(2, F.col("start") + F.col("length") - (1 << level)))
-        spent.append(durable(covered.select(*DOC, "start", "length", "left", "right")))
-        named.append(spent[-1])
+        named.append(durable(covered.select(*DOC, "start", "length", "left", "right")))
     if not named:
         none = runs.select(*DOC, "start", "length")
         return none.withColumn("first", F.struct(*DOC, "start")).limit(0)
@@ -132,21 +131,14 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return each.groupBy(*DOC).agg(F.sort_array(F.collect_set("seq")).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` without later copies of repeated runs of lines, with
-    ``n_lines`` (lines with a word) and ``deleted`` (their numbers from 0, ascending).
-
-    A run counts from ``min_words`` words; where runs overlap, each line of any later
-    copy goes, also within one document. Order is that of ``doc_id`` (null first), then
-    of a text hash. Lines are equal if they are without outer blanks; lines without
-    words belong to no run and stay, so do null and empty texts. Rows that share id and
-    text are one document and get the same result. The text is put together from the
-    lines left. Other columns are kept; names starting with ``_`` are reserved.
-    """
+def _without(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` with texts put together anew, ``_lines`` and ``_gone``."""
     of = keyed(docs)
-    lost = durable(deletions(of.select("doc_id", "text", "_hash"), min_words)).withColumnsRenamed({"doc_id": "_d", "_hash": "_h"})
-    met = of.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").drop("_d", "_h", "_hash")
-    kept = [c for c in docs.columns if c not in ("text", "n_lines", "deleted")]
+    # Lists of line numbers pack so well that the size of their file says little about
+    # their size in memory, so they are never broadcast.
+    lost = durable(deletions(of.select("doc_id", "text", "_hash"), min_words)).withColumnsRenamed({"doc_id": "_d", "_hash": "_h"}).hint("merge")
+    met = of.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
+    names, at = docs.columns, docs.columns.index("text")
 
     def cut(text: str | None, gone: list[int] | None) -> tuple[str | None, int]:
         if text is None:
@@ -162,27 +154,39 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone = b.column(len(kept)), b.column(len(kept) + 1)
-            done = [cut(t.as_py(), g.as_py()) for t, g in zip(texts, gone)]
-            empty = [g.as_py() or [] for g in gone]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(kept)], pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array(empty, pa.list_(pa.int32()))],
-                [*kept, "text", "n_lines", "deleted"],
-            )
-
-    made = T.StructType(
-        [docs.schema[c] for c in kept]
-        + [T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("deleted", T.ArrayType(T.IntegerType()))]
-    )
-    return met.select(*kept, "text", F.col("gone").alias("deleted")).mapInArrow(run, made)
+            gone = [g.as_py() or [] for g in b.column(len(names))]
+            done = [cut(t.as_py(), g) for t, g in zip(b.column(at), gone)]
+            columns = list(b.columns[: len(names)])
+            columns[at] = pa.array([d[0] for d in done], pa.string())
+            counts = pa.array([d[1] for d in done], pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(gone, pa.list_(pa.int32()))], [*names, "_lines", "_gone"])
+
+    made = T.StructType([*docs.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_gone", T.ArrayType(T.IntegerType()))])
+    return met.select(*names, F.col("gone").alias("_gone")).mapInArrow(run, made)
+
+
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs(doc_id, text, ...)`` without later copies of repeated runs of lines, with
+    ``n_lines`` (lines with a word) and ``deleted`` (their numbers from 0, ascending).
+
+    A run counts from ``min_words`` words; where runs overlap, each line of any later
+    copy goes, also within one document. Order is that of ``doc_id`` (null first), then
+    of a text hash. Lines are equal if they are without outer blanks; lines without
+    words belong to no run and stay, so do null and empty texts. Rows that share id and
+    text are one document and get the same result. The text is put together from the
+    lines left. Other columns are kept, but ``n_lines`` and ``deleted`` are replaced;
+    names starting with ``_`` are reserved. An empty table gives an empty one.
+    """
+    kept = [c for c in docs.columns if c not in ("n_lines", "deleted")]
+    return _without(docs, min_words).select(*kept, F.col("_lines").alias("n_lines"), F.col("_gone").alias("deleted"))
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs gone and ``n_chars`` counted anew; a document that
     loses all its lines goes with them. Columns stay as they are."""
-    cut = deduplicate(docs, min_words).filter((F.size("deleted") == 0) | (F.size("deleted") < F.col("n_lines")))
+    cut = _without(docs, min_words).filter((F.size("_gone") == 0) | (F.size("_gone") < F.col("_lines")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(F.size("_gone") > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
@@ -221,7 +225,10 @@ FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    done = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select(
-        "doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted")
-    )
+    """The lines that go, without putting the texts together again."""
+    docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = durable(deletions(docs)).withColumnsRenamed({"doc_id": "_d", "_hash": "_h"}).hint("merge")
+    counted = docs.select(*DOC, F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"))
+    met = counted.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    return met.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_deleted"), F.array_join(gone.cast("array<string>"), ",").alias("deleted"))
