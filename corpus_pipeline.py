@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm import decontam, linededup, mixing, quality, simhash
-from loreweave.llm.common import table
+from loreweave.llm.common import count_words, table
 from loreweave.session import durable
 
 
@@ -34,8 +34,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each copy the mix takes, with the copy's number from 1."""
-    mixed = mixing.mix(mixing.sized(docs))
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns, "copy")
+    rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    taken = mixing.mix(rows).filter("copies > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_number"))
 
 
 STAGES = [

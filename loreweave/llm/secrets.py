@@ -85,23 +85,20 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
             least = min(least, best[end - walk] + math.log10(40.0 * walk) + PART)
         for size in range(2, min(LONGEST, end) + 1):
             start = end - size
-            cost = None
+            cost = math.inf
             if size <= run:
                 cost = math.log10(12.0 * size)
-            elif size <= walk and size >= 3:
-                cost = math.log10(40.0 * size)
-            else:
-                part = low[start:end]
-                rank = ranks.get(part)
-                if rank is None:
-                    rank = ranks.get(plain[start:end])
-                    rank = rank and rank * 2
-                if rank is not None:
-                    cost = math.log10(rank + 1.0) + (0.3 if value[start:end] != part else 0.0)
-                elif c.isdigit() and 4 <= size <= 10 and _DATE.fullmatch(part):
-                    cost = math.log10(365.0 * 60)
-            if cost is not None:
-                least = min(least, best[start] + cost + PART)
+            if size <= walk and size >= 3:
+                cost = min(cost, math.log10(40.0 * size))
+            part = low[start:end]
+            rank = ranks.get(part)
+            if rank is None:
+                rank = 2 * ranks.get(plain[start:end], 0)
+            if rank:
+                cost = min(cost, math.log10(rank + 1.0) + (0.3 if value[start:end] != part else 0.0))
+            elif c.isdigit() and 4 <= size <= 10 and _DATE.fullmatch(part):
+                cost = min(cost, math.log10(365.0 * 60))
+            least = min(least, best[start] + cost + PART)
         best[end] = least
         if run <= LONGEST and walk <= LONGEST and min(best[max(0, end - LONGEST) : end + 1]) >= enough:
             return enough

@@ -297,7 +297,7 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_hash") == F.col("first._hash"))
     verdict = durable(rows.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"), stays.alias("stays"), "rows"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
-    kept = of.join(durable(verdict.filter("not stays")), same, "left_anti")
+    kept = of.join(durable(verdict.filter("not stays")).hint("merge"), same, "left_anti")
     equal = durable(verdict.filter("stays and rows > 1"))
     if not equal.isEmpty():
         kept = kept.join(equal, same, "left_anti").unionByName(kept.join(equal, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))

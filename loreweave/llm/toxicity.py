@@ -24,7 +24,7 @@ from loreweave.session import durable, release
 
 #: Hash cells, most labelled rows learned from (a sample by hash of the id beyond
 #: that), shards and passes.
-CELLS, ROWS, SHARDS, PASSES = 1 << 20, 60_000, 6, 4
+CELLS, ROWS, SHARDS, PASSES = 1 << 20, 60_000, 6, 8
 #: Rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 2.0, 0.1
 THRESHOLD = 0.3
