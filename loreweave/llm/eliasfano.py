@@ -33,7 +33,8 @@ class EliasFano:
         unary[tops + np.arange(n)] = 1
         high = np.packbits(unary, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(high).astype(np.int64)
-        zeros = np.concatenate([[0], np.cumsum(64 - ones)[:-1]]).astype(np.int64)
+        zeros = np.concatenate([[0], np.cumsum(64 - ones)[:-1]])
+        zeros = zeros.astype(np.uint32 if zeros[-1] < 1 << 32 else np.int64)
         return cls(n, bits, low, high, zeros)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -49,8 +50,8 @@ class EliasFano:
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) of the unary part."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = k - self.zeros[word]
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
+        left = k - self.zeros[word].astype(np.int64)
         x, place = ~self.high[word], word * 64
         for s in (32, 16, 8, 4, 2, 1):
             part = x & np.uint64((1 << s) - 1)
@@ -93,7 +94,7 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at indexes."""
         i = i.astype(np.int64)
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(ones, i, side="right") - 1
         left = i - ones[word]
         x, place = self.high[word].copy(), word * 64

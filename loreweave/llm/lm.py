@@ -4,8 +4,8 @@ Training. Tasks count the runs of three tokens in their texts and pack the count
 the shard of the first word; a shard merges them, smooths, and writes one file with its
 part of the trie: words, pairs below their first word, triples below their pair. Each
 level is one monotone sequence of ``context * words + word`` in Elias-Fano form, with
-monotone pointers from a node to its children and 16-bit codes of the smoothed
-probabilities. A very frequent word is spread over all shards by its second word, a very
+monotone pointers from a node to its children and one byte for the smoothed
+probability. A very frequent word is spread over all shards by its second word, a very
 frequent pair by its third; their totals are summed over shards and sent along.
 
 Scoring. Tasks map the files of the shared folder into memory and look up the distinct
@@ -185,6 +185,26 @@ def frequent(docs: DataFrame, texts: int, shards: int) -> Layout:
     return Layout(shards, pick(0), pick(1))
 
 
+def _packed(codes: list[np.ndarray], n: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Counted triples with a dictionary of the hashes they use."""
+    used = np.zeros(len(hashes), bool)
+    for c in codes:
+        used[c] = True
+    place = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+    words = hashes[used]
+    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    sizes = np.array([len(words), len(n), np.dtype(kind).itemsize], np.int64)
+    return b"".join([sizes.tobytes(), words.tobytes(), n.astype(np.uint32).tobytes(), *(place[c].astype(kind).tobytes() for c in codes)])
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    words, rows, width = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    hashes, at = np.frombuffer(data, np.uint64, words, 24), 24 + 8 * words
+    n = np.frombuffer(data, np.uint32, rows, at)
+    codes = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, 3 * rows, at + 4 * rows).reshape(3, rows)
+    return [*(hashes[c] for c in codes), n.astype(np.int64)]
+
+
 def counted(docs: DataFrame, layout: Layout) -> DataFrame:
     """``(shard, data)``: packed counts of the runs of three tokens of ``docs(text)``."""
 
@@ -197,25 +217,27 @@ def counted(docs: DataFrame, layout: Layout) -> DataFrame:
             codes = np.append(codes, [0, 0])
             keep = codes[:-2] != 0
             (a, b, c), n = _distinct([codes[:-2][keep], codes[1:-1][keep], codes[2:][keep]], len(hashes), return_counts=True)
-            a, b, c = hashes[a], hashes[b], hashes[c]
-            shard = layout.place(a, b, c)
+            abc = a, b, c
+            shard = layout.place(hashes[a], hashes[b], hashes[c])
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(layout.shards + 1))
             for s in np.flatnonzero(np.diff(ends)):
                 at = order[ends[s] : ends[s + 1]]
-                data = b"".join(x[at].tobytes() for x in (a, b, c, n.astype(np.int64)))
+                data = _packed([x[at] for x in abc], n[at], hashes)
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([pack.compress(data)], pa.binary())], ["shard", "data"])
 
     return docs.select("text").mapInArrow(run, "shard int, data binary")
 
 
-def _codes(values: np.ndarray) -> np.ndarray:
-    """16-bit codes of positive numbers, even steps of their logarithm."""
-    return np.clip(np.round((np.log10(values) + 12.0) * (65535 / 24.0)), 0, 65535).astype(np.uint16)
-
-
-def _decoded(codes: np.ndarray) -> np.ndarray:
-    return 10.0 ** (codes.astype(np.float64) * (24.0 / 65535) - 12.0)
+def _quantised(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """One byte for each positive number and the table of what the bytes mean: all
+    logarithms if they are few, else quantiles of those that occur."""
+    logs, place = np.unique(np.log10(values), return_inverse=True)
+    levels = logs
+    if len(logs) > 256:
+        levels = np.unique(np.quantile(logs, np.linspace(0, 1, 256)))
+        place = np.searchsorted((levels[1:] + levels[:-1]) / 2, logs)[place]
+    return {name: place.astype(np.uint8), f"{name}.table": 10.0**levels}
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -297,10 +319,9 @@ def build_shard(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, layo
     arrays |= {
         "count": word_n.astype(np.int64),
         "below": word_below.astype(np.int64),
-        "pair": _codes(share[real]),
-        "back": _codes(back),
-        "triple": _codes(share3[deep]),
     }
+    for name, values in (("pair", share[real]), ("back", back), ("triple", share3[deep])):
+        arrays |= _quantised(name, values)
     return arrays, totals
 
 
@@ -314,25 +335,38 @@ class Shard:
         for name in ("vocab", "level1", "level2", "level3", "pointers2", "pointers3"):
             setattr(self, name, EliasFano.of(self.arrays, name))
 
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """Places of words in the shard's vocabulary, each distinct one looked up once."""
+        one, inverse = np.unique(h, return_inverse=True)
+        return self.vocab.find(one)[inverse]
+
+    def values(self, name: str, node: np.ndarray) -> np.ndarray:
+        """Decoded probabilities of nodes; any for those not there (-1)."""
+        return self.arrays[f"{name}.table"][self.arrays[name][np.maximum(node, 0)]]
+
     def word(self, h: np.ndarray) -> np.ndarray:
-        at = self.vocab.find(h)
-        found = np.full(len(h), -1, np.int64)
+        one, inverse = np.unique(h, return_inverse=True)
+        at = self.vocab.find(one)
+        found = np.full(len(one), -1, np.int64)
         ok = at >= 0
         found[ok] = self.level1.find(at[ok].astype(np.uint64))
-        return found
+        return found[inverse]
 
-    def _child(self, level: EliasFano, node: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = np.where(node >= 0, self.vocab.find(h), -1)
+    def child(self, level: EliasFano, node: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.where(node >= 0, self.ids(h), -1)
         found = np.full(len(h), -1, np.int64)
         ok = at >= 0
         found[ok] = level.find(node[ok].astype(np.uint64) * np.uint64(self.vocab.n) + at[ok].astype(np.uint64))
         return found
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self._child(self.level2, self.word(a), b)
+        return self.child(self.level2, self.word(a), b)
 
     def triple(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return self._child(self.level3, self.pair(a, b), c)
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(new)  # equal contexts mostly stand together
+        node = self.pair(a[first], b[first])[np.cumsum(new) - 1]
+        return self.child(self.level3, node, c)
 
     def successors(self, node: int, level: int) -> np.ndarray:
         """Hashes of the words below a node of ``level`` 1 or 2, by its pointers."""
@@ -371,10 +405,10 @@ def train(docs: DataFrame, folder: str) -> Model:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        parts = [np.frombuffer(unpack.decompress(x.as_py()), dtype=np.uint64).reshape(4, -1) for x in rows.column("data")]
+        parts = [_unpacked(unpack.decompress(x.as_py())) for x in rows.column("data")]
         a, b, c, n = (np.concatenate([x[k] for x in parts]) for k in range(4))
         del parts
-        arrays, totals = build_shard(a, b, c, n.view(np.int64), layout)
+        arrays, totals = build_shard(a, b, c, n, layout)
         shard = key[0].as_py()
         path = _save(folder, f"{shard:06d}-{uuid.uuid4().hex}.trie", arrays)
         word_hashes = EliasFano.of(arrays, "vocab").get(EliasFano.of(arrays, "level1").get(np.arange(len(arrays["count"]))).astype(np.int64))
@@ -457,16 +491,16 @@ class Scorer:
 
         def look(shard: Shard, at: np.ndarray) -> None:
             word = shard.word(a[at])
-            node = shard._child(shard.level2, word, b[at])
+            node = shard.child(shard.level2, word, b[at])
             own = ~hot_a[at]
             under = np.where(word >= 0, shard.arrays["below"][np.maximum(word, 0)], 0)
             left[at] = np.where(own, PAIR / (under + PAIR), left[at])
-            ok, k = node >= 0, np.maximum(node, 0)
+            ok = node >= 0
             if ok.any():
-                value = _decoded(shard.arrays["pair"][k])
+                value = shard.values("pair", node)
                 value = np.where(own, value, value / (below[at] + PAIR))
                 seen[at] = np.where(ok, value, 0.0)
-                back[at] = np.where(ok, _decoded(shard.arrays["back"][k]), 1.0)
+                back[at] = np.where(ok, shard.values("back", node), 1.0)
 
         rest = np.flatnonzero(~hot)
         self._by_shard(layout.place(a[rest], b[rest]), lambda shard, at: look(shard, rest[at]))
@@ -483,7 +517,7 @@ class Scorer:
             node = shard.triple(a[at], b[at], c[at])
             ok = node >= 0
             if ok.any():
-                value = _decoded(shard.arrays["triple"][np.maximum(node, 0)])
+                value = shard.values("triple", node)
                 seen[at] = np.where(ok, np.where(hot[at], value / (below[at] + TRIPLE), value), 0.0)
 
         self._by_shard(layout.place(a, b, c), look)

@@ -11,7 +11,7 @@ by the number of hash cells, that go to the tasks for scoring.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from loreweave.llm.common import crc_mod, table
 from loreweave.session import durable, release
 
-#: Hash cells, most labelled rows learned from (a sample by hash of the id beyond
-#: that), shards and passes.
+#: Hash cells, most labelled rows learned from (about so many, by hash of the id, of
+#: more), shards and passes. The bound is what makes a broadcast of the labels safe.
 CELLS, ROWS, SHARDS, PASSES = 1 << 20, 60_000, 6, 8
 #: Rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 2.0, 0.1
@@ -80,7 +80,7 @@ def _chance(total: float) -> float:
     return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
 
 
-def _learn(rows: list[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray) -> None:
+def _learn(rows: Iterable[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray) -> None:
     """One pass over ``rows`` of (cells, label); the last cell of the state is the bias."""
     for cells, y in rows:
         at = np.append(cells, len(z) - 1)
@@ -93,19 +93,19 @@ def _learn(rows: list[tuple[np.ndarray, float]], z: np.ndarray, n: np.ndarray) -
 
 def features(docs: DataFrame) -> DataFrame:
     """``(shard, place, label, cells)`` of ``docs(place, label, text)``; ``place`` orders
-    a shard's rows."""
+    a shard's rows, ``cells`` are packed steps from one cell to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hasher()
+        import zstandard
+
+        hashed, pack = Hasher(), zstandard.ZstdCompressor(level=3)
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
-                cells = [hashed(t.as_py()) for t in part.column(2).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(cells, pa.list_(pa.int32()))], ["place", "label", "cells"]
-                )
+                cells = [pack.compress(np.diff(hashed(t.as_py()), prepend=np.int32(0)).tobytes()) for t in part.column(2).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.binary())], ["place", "label", "cells"])
 
-    made = docs.select("place", "label", "text").mapInArrow(run, "place bigint, label double, cells array<int>")
+    made = docs.select("place", "label", "text").mapInArrow(run, "place bigint, label double, cells binary")
     return made.withColumn("shard", F.pmod(F.col("place"), F.lit(SHARDS)).cast("int"))
 
 
@@ -113,32 +113,29 @@ def _walker(state: dict[str, np.ndarray]):
     """One pass of a shard from a shared state; gives the shard's state."""
 
     def walk(key: tuple, rows: pa.Table) -> pa.Table:
+        import zstandard
+
         rows = rows.sort_by([("place", "ascending"), ("label", "ascending")])
         z, n = np.zeros(CELLS + 1), np.zeros(CELLS + 1)
         z[state["cell"]], n[state["cell"]] = state["z"], state["n"]
-        cells = rows.column("cells").combine_chunks()
-        ends, flat = cells.offsets.to_numpy(), cells.values.to_numpy()
-        y = rows.column("label").to_numpy()
-        _learn([(flat[ends[i] : ends[i + 1]], y[i]) for i in range(len(y))], z, n)
+        unpack = zstandard.ZstdDecompressor()
+        cells = (np.cumsum(np.frombuffer(unpack.decompress(c.as_py()), np.int32)) for c in rows.column("cells"))
+        _learn(zip(cells, rows.column("label").to_numpy()), z, n)
         # What a rare feature has gathered is far below L1 and is not worth sending.
-        at = np.flatnonzero(np.abs(z) > 0.1 * L1)
-        return pa.table({"cell": at, "z": z[at], "n": n[at]})
+        at = np.flatnonzero(np.abs(z) > 0.25 * L1)
+        return pa.table({"cell": at.astype(np.int32), "z": z[at].astype(np.float32), "n": n[at].astype(np.float32)})
 
     return walk
 
 
 def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Weights from ``labelled(doc_id, text, label)``: their cells, their values and the
-    bias. Null labels are left out. Of more than ``ROWS`` rows those with the lowest
-    hashes of the id are taken, whole texts each. Without rows the bias is 0."""
+    bias. Null labels are left out. Without rows the bias is 0."""
     known = labelled.filter(F.col("label").isNotNull()).withColumn("place", F.xxhash64("doc_id", "text"))
-    n = known.count()
-    if n > ROWS:
-        known = known.filter(F.pmod("place", F.lit(1 << 30)) < int(ROWS / n * (1 << 30)))
     shards = durable(features(known.withColumn("label", F.col("label").cast("double"))).repartition(SHARDS, "shard"))
     state = {"z": np.zeros(0), "n": np.zeros(0), "cell": np.zeros(0, np.int64)}
     for _ in range(PASSES):
-        per = shards.groupBy("shard").applyInArrow(_walker(state), "cell bigint, z double, n double")
+        per = shards.groupBy("shard").applyInArrow(_walker(state), "cell int, z float, n float")
         made = durable(per.groupBy("cell").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")))
         rows = made.filter(F.abs("z") > 0.05 * L1).collect()
         release(made)
@@ -178,8 +175,11 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """``(doc_id, score)`` per row of ``docs(doc_id, text)``, learned from
     ``labels(doc_id, label)`` of documents for which ``train`` holds. A label without a
     document, a null label and a null id teach nothing; repeated labels each count."""
-    known = durable(labels.filter(train & F.col("label").isNotNull()))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    known = durable(labels.filter(train & F.col("label").isNotNull()).select("doc_id", "label"))
+    n = known.count()
+    if n > ROWS:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(ROWS / n * (1 << 30)))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     return score(docs.select("doc_id", "text"), fit(labelled))
 
 
