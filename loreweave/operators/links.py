@@ -187,10 +187,10 @@ def traverse(seeds: DataFrame, depth: int, expand: Callable[[DataFrame], DataFra
 
 
 def link_graph(links: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges within ``depth`` (at most five) hops of each seed path."""
+    """Nodes and edges within ``depth`` hops of each seed path."""
     hops = links.select(F.col("source_path").alias("node"), F.col("source_path").alias("source"), F.col("target_path").alias("target"), "link_type").distinct()
     start = seeds.select(F.col("path").alias("seed"), F.col("path").alias("node")).distinct()
-    return traverse(start, min(depth, MAX_DEPTH), lambda f: f.join(hops, "node").withColumn("to", F.col("target")))
+    return traverse(start, depth, lambda f: f.join(hops, "node").withColumn("to", F.col("target")))
 
 
 def vault_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

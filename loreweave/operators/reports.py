@@ -172,36 +172,30 @@ def index_consistency(files: DataFrame, chunks: DataFrame, threshold: float = 0.
 
 
 def diff_listings(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Added, modified and deleted paths between two ``(path, mtime)`` listings."""
-    a, b = previous.select("path", F.col("mtime").alias("_old")), current.select("path", F.col("mtime").alias("_new"))
+    """Added, modified and deleted paths between two ``(path, mtime)`` listings; with a
+    ``vault`` column in both, paths are compared inside their vault."""
+    keys = [c for c in ("vault", "path") if c in previous.columns and c in current.columns]
+    a, b = previous.select(*keys, F.col("mtime").alias("_old")), current.select(*keys, F.col("mtime").alias("_new"))
     action = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(F.col("_new") > F.col("_old"), "modified")
-    return a.join(b, "path", "full_outer").select("path", action.alias("action")).filter(F.col("action").isNotNull())
+    return a.join(b, keys, "full_outer").select(*keys, action.alias("action")).filter(F.col("action").isNotNull())
 
 
 # ── contradictions and pairs ──────────────────────────────────────────────────
 def cross_vault_contradictions(facts: DataFrame) -> DataFrame:
-    """Facts whose key has another value in another vault, each with one witness.
+    """Every value of each key on which vaults disagree: the vaults that hold it, the
+    smallest of them, and how many values the key has in all.
 
-    The witness is the smallest vault with a different value. Two aggregates per key
-    find it, so a key held by very many vaults gives one row per vault, not one per
-    pair of vaults.
+    Two vaults contradict each other exactly if they hold different rows of a key, so
+    all pairs follow from these rows, of which there are no more than facts.
     """
-    rows = facts.filter(ff.present(F.col("fact_key"))).select("fact_key", "vault", F.col("fact_value").alias("value"))
-    lowest = rows.groupBy("fact_key").agg(F.min(F.struct("vault", "value")).alias("_a"))
-    other = (
-        rows.join(lowest, "fact_key").filter(F.col("value") != F.col("_a.value"))
-        .groupBy("fact_key").agg(F.min(F.struct("vault", "value")).alias("_b"))
-    )
-    clash = lowest.join(other, "fact_key")
-    witness = F.when(F.col("value") != F.col("_a.value"), F.col("_a")).otherwise(F.col("_b"))
-    return (
-        rows.join(clash, "fact_key")
-        .withColumn("_w", witness)
-        .select(
-            "fact_key", F.col("vault").alias("vault_a"), text.truncate(F.col("value"), 200).alias("value_a"),
-            F.col("_w.vault").alias("vault_b"), text.truncate(F.col("_w.value"), 200).alias("value_b"),
-        )
-    )
+    rows = facts.filter(ff.present(F.col("fact_key"))).select("fact_key", "vault", F.col("fact_value").alias("value")).distinct()
+    values = rows.groupBy("fact_key", "value").agg(F.count(F.lit(1)).alias("vaults"), F.min("vault").alias("first_vault"), F.max("vault").alias("last_vault"))
+    clash = (
+        values.groupBy("fact_key")
+        .agg(F.count(F.lit(1)).alias("n_values"), F.min("first_vault").alias("_a"), F.max("last_vault").alias("_b"))
+        .filter((F.col("n_values") > 1) & (F.col("_a") < F.col("_b")))
+    )
+    return values.join(clash, "fact_key").select("fact_key", "value", "vaults", "first_vault", "n_values")
 
 
 def shared_keys(facts: DataFrame, left: str, right: str) -> DataFrame:
@@ -250,7 +244,7 @@ def audit(files: DataFrame, facts: DataFrame, chunks: DataFrame, listing: DataFr
         "gaps": lambda: rows(empty_dirs(listing), "gaps", F.col("dir"), F.col("reason")),
         "consistency": lambda: rows(index_consistency(files, chunks).filter("affected"), "consistency", F.col("vault"), F.col("disk_files")),
         "conflicts": lambda: rows(unresolved_conflicts(facts), "conflicts", F.concat("vault", F.lit("/"), "fact_key"), F.array_join("contradicts", ",")),
-        "contradictions": lambda: rows(cross_vault_contradictions(facts), "contradictions", F.concat("vault_a", F.lit("/"), "fact_key"), F.col("vault_b")),
+        "contradictions": lambda: rows(cross_vault_contradictions(facts), "contradictions", F.concat("first_vault", F.lit("/"), "fact_key"), F.col("value")),
         "expired": lambda: rows(expired(facts, as_of), "expired", F.concat("vault", F.lit("/"), "fact_key"), F.col("reason")),
     }
     return _union([makers[c]() for c in checks or makers])

@@ -173,7 +173,7 @@ def hybrid_typed(chunk_hits: DataFrame, fact_hits: DataFrame, typed: DataFrame)
 def search_facts(queries: DataFrame, facts: DataFrame, key: str, now, k: int = 100, **listing) -> DataFrame:
     """Semantic fact search; ``listing`` takes the filters of ``filters.list_facts``."""
     wanted = filters.list_facts(facts, now, **listing)
-    hits = vector.knn_batch(queries, wanted, key, min(k, 1000))
+    hits = vector.knn_batch(queries, wanted, key, k)
     return hits.join(wanted.drop("embedding"), key)
 
 
@@ -209,23 +209,15 @@ def context_sources(results: DataFrame) -> DataFrame:
     return results.filter(F.col("source_file") != "").groupBy("query_id", "source_file").agg(F.min("rank").alias("rank"))
 
 
-def full_context(queries: DataFrame, chunks: DataFrame, key: str, budget: int = FULL_CONTEXT_TOKENS, hits: int = 50, per_file: int = 100) -> DataFrame:
+def full_context(queries: DataFrame, chunks: DataFrame, key: str, budget: int = FULL_CONTEXT_TOKENS, hits: int = 50) -> DataFrame:
     """Whole files of the best ``hits`` chunks, in rank order, until the text before a
-    file passes ``budget`` estimated tokens; at most ``per_file`` chunks of a file."""
+    file passes ``budget`` estimated tokens. A file's chunks come by similarity."""
     best = fetch_ranked(vector.knn_batch(queries, chunks, key, hits), chunks.drop("embedding", "text"), key, "l2")
     files = best.groupBy("query_id", "source_file").agg(F.min("rank").alias("file_rank"))
     members = chunks.join(files.select("source_file").distinct(), "source_file", "left_semi")
-    # Each (query, file) pair is asked on its own, within that file only.
-    pair = F.to_json(F.struct("query_id", "source_file"))
-    asked = files.join(queries.select("query_id", "embedding"), "query_id").withColumn("query_id", pair)
-    scored = vector.knn_batch(asked, members, key, per_file, within="source_file")
-    back = F.from_json("query_id", files.select("query_id", "source_file").schema)
-    rows = (
-        scored.withColumn("_p", back)
-        .select(F.col("_p.query_id").alias("query_id"), F.col("_p.source_file").alias("source_file"), key, F.col("rank").alias("place"))
-        .join(files, ["query_id", "source_file"])
-    )
-    blocks = rows.join(members.select(key, "chunk_index", "text"), key).withColumn(
+    asked = files.join(queries.select("query_id", F.col("embedding").alias("_asked")), "query_id")
+    near = -vector.cosine(F.col("_asked"), F.col("embedding"))
+    blocks = asked.join(members, "source_file").select("query_id", "source_file", "file_rank", F.struct(near, key).alias("place"), "chunk_index", "text").withColumn(
         "_block",
         F.concat(F.lit("[Source: "), "source_file", F.lit(" | Chunk "), "chunk_index", F.lit("]\n"), "text", F.lit("\n\n")),
     )

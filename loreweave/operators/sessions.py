@@ -115,8 +115,12 @@ def gist_facts(gists: DataFrame, as_of, ttl_days: int = 365) -> DataFrame:
         F.concat(F.lit("session:"), "session_id").alias("source"),
         F.lit("consolidation").alias("source_type"),
         F.lit("active").alias("status"),
+        F.lit(0.7).alias("confidence"),
+        F.lit("gist").alias("category"),
+        "session_id",
         F.lit(ttl_days).alias("ttl_days"),
         now.alias("created_at"),
+        now.alias("updated_at"),
         clock.plus_days(now, F.lit(ttl_days)).alias("expires_at"),
     )
 

@@ -49,10 +49,10 @@ def sparse(t, k=20, variant="reference"):
                    frequencies=lx.document_frequency(t.chunks))
 
 
-@query("cosine", "D1", f"SELECT a.vec_id, {cos('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500")
+@query("cosine", "D1", f"SELECT a.vec_id, {cos('a.embedding', 'b.embedding')} AS score FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)")
 def _(t):
     b = t.embeddings.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
-    pairs = t.embeddings.join(b, F.col("other") == (F.col("vec_id") * 7 + 3) % 500)
+    pairs = t.vectors.join(b, F.col("other") == (F.col("vec_id") * 7 + 3) % F.col("n"))
     return pairs.select("vec_id", F.round(vx.cosine(F.col("embedding"), F.col("b")), 6).alias("score"))
 
 
@@ -72,14 +72,22 @@ def _(t):
     return vx.knn(centroids(t), t.embeddings, "vec_id", 10, threshold=0.2)
 
 
-@query("knn_batch", "D3", f"SELECT query_id, doc_id, score, rank FROM {ranked('SELECT q.vec_id AS query_id, c.doc_id, ' + cos('q.embedding', 'c.embedding') + ' AS score FROM embeddings q, chunks c')} WHERE rank <= 10")
+# Derived vectors have one component more than the given ones.
+LONGER = "(SELECT vec_id, array_append(embedding, CAST(1 AS FLOAT)) AS embedding FROM embeddings)"
+
+
+def longer(t):
+    return t.embeddings.withColumn("embedding", F.array_append("embedding", F.lit(1.0).cast("float")))
+
+
+@query("knn_batch", "D3", f"SELECT query_id, doc_id, score, rank FROM {ranked('SELECT q.vec_id AS query_id, c.doc_id, ' + cos('q.embedding', 'c.embedding') + ' AS score FROM ' + LONGER + ' q, chunks c')} WHERE rank <= 10")
 def _(t):
-    return vx.knn_batch(t.embeddings.withColumnRenamed("vec_id", "query_id"), t.chunks, "doc_id", 10)
+    return vx.knn_batch(longer(t).withColumnRenamed("vec_id", "query_id"), t.chunks, "doc_id", 10)
 
 
-@query("knn_batch_blocks", "D3", f"SELECT query_id, doc_id, score, rank FROM {ranked('SELECT q.vec_id AS query_id, c.doc_id, ' + cos('q.embedding', 'c.embedding') + ' AS score FROM embeddings q, chunks c')} WHERE rank <= 10")
+@query("knn_batch_blocks", "D3", f"SELECT query_id, doc_id, score, rank FROM {ranked('SELECT q.vec_id AS query_id, c.doc_id, ' + cos('q.embedding', 'c.embedding') + ' AS score FROM ' + LONGER + ' q, chunks c')} WHERE rank <= 10")
 def _(t):
-    return vx.knn_batch(t.embeddings.withColumnRenamed("vec_id", "query_id"), t.chunks, "doc_id", 10, broadcast_queries=100)
+    return vx.knn_batch(longer(t).withColumnRenamed("vec_id", "query_id"), t.chunks, "doc_id", 10, broadcast_queries=100)
 
 
 @query("knn_batch_outcome", "D3", f"SELECT query_id, CASE WHEN query_id % 10 = 0 THEN 0 ELSE 10 END AS n, CASE WHEN query_id % 10 = 0 THEN 0 ELSE max(score) END AS top_score, CASE WHEN query_id % 10 = 0 THEN 'no embedding' END AS error FROM {DENSE} GROUP BY query_id")
@@ -149,9 +157,9 @@ def _(t):
     return vx.zero_vectors(zeroed(t)).select("event_id")
 
 
-@query("reembed_facts", "D9", "SELECT event_id, 64 AS dim, false AS zero FROM facts")
+@query("reembed_facts", "D9", "SELECT event_id, 65 AS dim, false AS zero FROM facts")
 def _(t):
-    out = models.reembed_zero_vectors(zeroed(t), models.hashing_embedder())
+    out = models.reembed_zero_vectors(zeroed(t), models.hashing_embedder(65))
     return out.select("event_id", F.size("embedding").alias("dim"), vx.is_zero_vector(F.col("embedding")).alias("zero"))
 
 
@@ -168,10 +176,9 @@ def _(t):
 @query("dedup_against_existing", "D12", f"""
     SELECT n.event_id, {cos('n.embedding', 'o.embedding')} AS similarity, CASE WHEN {cos('n.embedding', 'o.embedding')} >= 0.2 THEN 'skip'
       WHEN o.fact_key IS NOT NULL AND o.status = 'active' THEN 'supersede' ELSE 'write' END AS decision
-    FROM (SELECT i.*, e.embedding FROM facts_in i JOIN embeddings e ON e.vec_id = (i.event_id * 3) % 500) n LEFT JOIN fact_vectors o ON o.vault = n.vault AND o.fact_key = n.fact_key""")
+    FROM (SELECT i.*, e.embedding FROM facts_in i JOIN incoming_vectors e USING (event_id)) n LEFT JOIN fact_vectors o ON o.vault = n.vault AND o.fact_key = n.fact_key""")
 def _(t):
-    e = t.embeddings.select("vec_id", "embedding")
-    incoming = t.facts_in.select("vault", "fact_key", "event_id").join(e, F.col("vec_id") == (F.col("event_id") * 3) % 500).drop("vec_id")
+    incoming = t.facts_in.select("vault", "fact_key", "event_id").join(t.incoming_vectors, "event_id")
     return vx.dedup_against_existing(incoming, t.fact_vectors, 0.2).select("event_id", F.round("similarity", 6).alias("similarity"), "decision")
 
 
@@ -212,14 +219,14 @@ def _(t):
     return rt.recall_hybrid(t.asks, t.chunks, "doc_id", 10).select("query_id", "rank", "score", "sources", "source_file", "text")
 
 
-REWRITES = """(SELECT query_id, 0 AS part, embedding FROM asks UNION ALL SELECT b.item_id, 1, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = (b.item_id * 7 + 1) % 500)"""
+REWRITES = """(SELECT query_id, 0 AS part, embedding FROM asks UNION ALL SELECT b.item_id, 1, array_append(e.embedding, CAST(1 AS FLOAT)) FROM benchmark b JOIN vectors e ON e.vec_id = (b.item_id * 7 + 1) % e.n)"""
 
 
 @query("recall_multiquery", "E7", f"""SELECT query_id, doc_id, score, rank FROM {ranked('SELECT query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 6) AS score FROM '
     + ranked('SELECT query_id, part, doc_id, ' + cos('a.embedding', 'c.embedding') + f' AS score FROM {REWRITES} a, chunks c', 'query_id, part') + ' WHERE rank <= 20 GROUP BY query_id, doc_id')} WHERE rank <= 10""")
 def _(t):
     rewrites = t.sql("""SELECT query_id, 0 AS part, embedding FROM {asks} UNION ALL
-        SELECT b.item_id, 1, e.embedding FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = (b.item_id * 7 + 1) % 500""")
+        SELECT b.item_id, 1, array_append(e.embedding, CAST(1 AS FLOAT)) FROM {benchmark} b JOIN {vectors} e ON e.vec_id = (b.item_id * 7 + 1) % e.n""")
     return rt.recall_multiquery(rewrites, t.chunks, "doc_id", 10).drop("sources")
 
 

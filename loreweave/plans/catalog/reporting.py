@@ -135,13 +135,13 @@ def _(t):
     return rp.index_consistency(on_disk(t), t.chunks).withColumn("delta", F.round("delta", 6))
 
 
-@query("diff_listings", "A3", """SELECT path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'added' ELSE 'modified' END AS action FROM (SELECT * FROM files WHERE vault = 'alpha' OR mtime < TIMESTAMP '2023-10-20 00:00:00') o
-    FULL JOIN (SELECT path, mtime + INTERVAL '1' HOUR * CASE WHEN mtime < TIMESTAMP '2023-10-10 00:00:00' THEN 5 ELSE 0 END AS mtime FROM files WHERE mtime < TIMESTAMP '2023-11-01 00:00:00') n USING (path)
+@query("diff_listings", "A3", """SELECT vault, path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'added' ELSE 'modified' END AS action FROM (SELECT * FROM vault_paths WHERE vault < 'v3' OR hours % 3 = 0) o
+    FULL JOIN (SELECT vault, path, mtime + INTERVAL '1' HOUR * CASE WHEN hours % 2 = 0 THEN 5 ELSE 0 END AS mtime FROM vault_paths WHERE vault > 'v0' OR hours % 5 > 0) n USING (vault, path)
     WHERE o.mtime IS NULL OR n.mtime IS NULL OR n.mtime > o.mtime""")
 def _(t):
-    old = t.files.filter("vault = 'alpha' OR mtime < TIMESTAMP_NTZ '2023-10-20 00:00:00'")
-    new = t.files.filter("mtime < TIMESTAMP_NTZ '2023-11-01 00:00:00'").select(
-        "path", F.expr("mtime + make_dt_interval(0, CASE WHEN mtime < TIMESTAMP_NTZ '2023-10-10 00:00:00' THEN 5 ELSE 0 END)").alias("mtime"))
+    old = t.vault_paths.filter("vault < 'v3' OR hours % 3 = 0")
+    new = t.vault_paths.filter("vault > 'v0' OR hours % 5 > 0").select(
+        "vault", "path", F.expr("mtime + make_dt_interval(0, CASE WHEN hours % 2 = 0 THEN 5 ELSE 0 END)").alias("mtime"))
     return rp.diff_listings(old, new)
 
 
@@ -171,12 +171,14 @@ def _(t):
                        (F.size(F.array_except("b", a)) == 0).alias("all_tags"))
 
 
-CONTRA = """SELECT a.fact_key, a.vault AS vault_a, a.fact_value AS value_a, b.vault AS vault_b, b.fact_value AS value_b FROM facts a JOIN facts b ON b.fact_key = a.fact_key AND b.vault <> a.vault AND b.fact_value <> a.fact_value"""
+CONTRA = """SELECT a.fact_key, a.fact_value AS value, count(DISTINCT a.vault) AS vaults, min(a.vault) AS first_vault, any_value(k.n) AS n_values
+    FROM {0} a JOIN (SELECT fact_key, count(DISTINCT fact_value) AS n FROM {0} GROUP BY 1) k ON k.fact_key = a.fact_key
+    WHERE EXISTS (SELECT 1 FROM {0} b WHERE b.fact_key = a.fact_key AND b.vault <> a.vault AND b.fact_value <> a.fact_value) GROUP BY 1, 2"""
 
 
-@query("cross_vault_contradictions", "F4", CONTRA)
+@query("cross_vault_contradictions", "F4", CONTRA.format("facts_seven"))
 def _(t):
-    return rp.cross_vault_contradictions(t.facts)
+    return rp.cross_vault_contradictions(t.facts_seven)
 
 
 @query("zip_facts_chunks", "F12,L23", """SELECT a.r AS place, fact_key, fact_value, doc_id, text FROM (SELECT *, row_number() OVER (ORDER BY vault, fact_key) AS r FROM facts WHERE status = 'active') a
@@ -195,7 +197,7 @@ def _(t):
     SELECT 'staleness' AS "check", path AS subject, CAST(CAST(trunc({DAYS.format(now=NOW, at='mtime')}) AS INT) AS VARCHAR) AS detail FROM files WHERE {DAYS.format(now=NOW, at='mtime')} > 90
     UNION ALL SELECT 'gaps', dir, reason FROM ({GAPS}) UNION ALL SELECT 'consistency', vault, CAST(disk_files AS VARCHAR) FROM ({CONSISTENCY.replace(ON_DISK, 'files')}) WHERE affected
     UNION ALL SELECT 'conflicts', vault || '/' || fact_key, contradicts_csv FROM facts WHERE contradicts_csv <> '' AND NOT conflict_resolved
-    UNION ALL SELECT 'contradictions', vault_a || '/' || fact_key, vault_b FROM ({CONTRA}) UNION ALL SELECT 'expired', vault || '/' || fact_key, 'expired' FROM facts WHERE status = 'active' AND valid_until < {NOW}""")
+    UNION ALL SELECT 'contradictions', first_vault || '/' || fact_key, value FROM ({CONTRA.format('facts')}) UNION ALL SELECT 'expired', vault || '/' || fact_key, 'expired' FROM facts WHERE status = 'active' AND valid_until < {NOW}""")
 def _(t):
     return rp.audit(t.files, t.fact_table, t.chunks, listing(t), AS_OF)
 

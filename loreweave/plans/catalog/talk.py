@@ -73,15 +73,15 @@ def _(t):
 @query("consolidate", "L21", f"""
     SELECT r.vault, r.session_id, r.slot, x.transcript FROM {REPLAY} r JOIN (
       SELECT session_id, string_agg(role || ': ' || {TRIM.format('content')} || chr(10), '' ORDER BY turn_id) AS transcript FROM (
-        SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS back FROM turns) WHERE back <= 5 GROUP BY session_id) x ON x.session_id = r.session_id""")
+        SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS back FROM turns) WHERE back <= 50 GROUP BY session_id) x ON x.session_id = r.session_id""")
 def _(t):
-    return ss.consolidation_batch(t.sessions, t.turns, AS_OF, turn_limit=5)
+    return ss.consolidation_batch(t.sessions, t.turns, AS_OF)
 
 
-@query("gist_facts", "L21", f"""SELECT vault, 'gist:' || session_id AS fact_key, 'agent ' || agent_id AS fact_value, 365 AS ttl_days, {NOW} + INTERVAL '365' DAY AS expires_at FROM sessions""")
+@query("gist_facts", "L21", f"""SELECT vault, 'gist:' || session_id AS fact_key, 'agent ' || agent_id AS fact_value, 365 AS ttl_days, {NOW} + INTERVAL '365' DAY AS expires_at, 0.7::DOUBLE AS confidence, 'gist' AS category, session_id FROM sessions""")
 def _(t):
     gists = t.sessions.select("vault", "session_id", F.concat(F.lit(" agent "), "agent_id", F.lit("\n")).alias("gist"))
-    return ss.gist_facts(gists, AS_OF).select("vault", "fact_key", "fact_value", "ttl_days", "expires_at")
+    return ss.gist_facts(gists, AS_OF).select("vault", "fact_key", "fact_value", "ttl_days", "expires_at", "confidence", "category", "session_id")
 
 
 def _topics(user):
@@ -227,12 +227,11 @@ def _(t):
       CASE WHEN ttl_days > 0 THEN {NOW} + INTERVAL '1' DAY * ttl_days END AS expires_at FROM (
       SELECT n.event_id, n.fact_key, n.confidence, n.ttl_days, n.user_id, CASE WHEN {cos('n.embedding', 'o.embedding')} >= 0.2 THEN 'skip'
         WHEN o.fact_key IS NOT NULL AND o.status = 'active' THEN 'supersede' ELSE 'write' END AS decision
-      FROM (SELECT i.*, v.user_id, e.embedding FROM facts_in i JOIN events v ON v.event_id = i.event_id JOIN embeddings e ON e.vec_id = (i.event_id * 3) % 500) n
+      FROM (SELECT i.*, v.user_id, e.embedding FROM facts_in i JOIN events v ON v.event_id = i.event_id JOIN incoming_vectors e ON e.event_id = i.event_id) n
       LEFT JOIN fact_vectors o ON o.vault = n.vault AND o.fact_key = n.fact_key) WHERE decision <> 'skip'""")
 def _(t):
-    e = t.embeddings.select("vec_id", "embedding")
     users = t.events.select("event_id", F.concat(F.lit("s"), "user_id").alias("session_id"))
-    parsed = t.facts_in.join(users, "event_id").join(e, F.col("vec_id") == (F.col("event_id") * 3) % 500).select(
+    parsed = t.facts_in.join(users, "event_id").join(t.incoming_vectors, "event_id").select(
         "vault", "event_id", "session_id", "fact_key", F.concat("fact_value", F.lit("#"), "event_id").alias("value"), "confidence",
         F.lit("event").alias("category"), "ttl_days", "embedding")
     out = ss.extracted_facts(parsed, t.fact_vectors, AS_OF, threshold=0.2)

@@ -97,16 +97,29 @@ DERIVED = {
     "files": """
         SELECT CASE WHEN doc_id % 2 = 0 THEN 'alpha' ELSE 'beta' END AS vault, concat('doc/', doc_id, '.md') AS path,
           TIMESTAMP '2023-10-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS mtime FROM {documents}""",
+    "facts_seven": """
+        SELECT concat('v', event_id % 7) AS vault, concat(event_type, '/', user_id % 20) AS fact_key,
+          concat('x', event_id % 3) AS fact_value FROM {events}""",
+    "vault_paths": """
+        SELECT concat('v', doc_id % 5) AS vault, concat('doc/', doc_id % 50, '.md') AS path, max(CAST(doc_id AS INT)) AS hours,
+          TIMESTAMP '2023-10-01 00:00:00' + INTERVAL '1' HOUR * max(CAST(doc_id AS INT)) AS mtime FROM {documents} GROUP BY 1, 2""",
+    "vectors": """
+        SELECT vec_id, embedding, n FROM {embeddings} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) AS size""",
     "chunks": """
         SELECT CASE WHEN doc_id % 2 = 0 THEN 'alpha' ELSE 'beta' END AS vault, concat('doc/', doc_id, '.md') AS source_file,
           0 AS chunk_index, text,
           TIMESTAMP '2023-10-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS file_last_updated,
-          d.doc_id, e.embedding, lang, source AS origin
-        FROM {documents} d JOIN {embeddings} e ON e.vec_id = d.doc_id % 500""",
+          d.doc_id, array_append(e.embedding, CAST((d.doc_id % 1024) / 8192 AS FLOAT)) AS embedding, lang, source AS origin
+        FROM {documents} d JOIN {vectors} e ON e.vec_id = d.doc_id % e.n""",
     "fact_vectors": """
-        SELECT f.*, e.embedding FROM {facts} f JOIN {embeddings} e ON e.vec_id = f.event_id % 500""",
+        SELECT f.*, array_append(e.embedding, CAST((f.event_id % 1024) / 8192 AS FLOAT)) AS embedding
+        FROM {facts} f JOIN {vectors} e ON e.vec_id = f.event_id % e.n""",
     "asks": """
-        SELECT item_id AS query_id, text, e.embedding FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id % 500""",
+        SELECT item_id AS query_id, text, array_append(e.embedding, CAST(1 AS FLOAT)) AS embedding
+        FROM {benchmark} b JOIN {vectors} e ON e.vec_id = b.item_id % e.n""",
+    "incoming_vectors": """
+        SELECT i.event_id, array_append(e.embedding, CAST((i.event_id % 1024) / 8192 AS FLOAT)) AS embedding
+        FROM {facts_in} i JOIN {vectors} e ON e.vec_id = (i.event_id * 3) % e.n""",
     "dialogue": """
         SELECT session_id, turn_id, role, created_at, concat(content, CASE
           WHEN role = 'assistant' THEN CASE turn_id % 4 WHEN 1 THEN concat(chr(10), 'Now run the build of ', session_id) ELSE ' Then check the config; we will use the new plan.' END
@@ -124,16 +137,6 @@ DERIVED = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-TEXT_TABLES = ["documents", "conversations"]
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Share a scan with fewer splits than cores among the cores, because text work is
-    CPU-bound. A large table has more splits than cores and is left alone."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 class Tables:
     """Attribute access to base and derived tables of one scale-factor folder."""
 
@@ -145,8 +148,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in BASE:
-                table = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
-                self._seen[name] = spread(table) if name in TEXT_TABLES else table
+                self._seen[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
             elif name in DERIVED:
                 sql = DERIVED[name]
                 self._seen[name] = self.sql(sql)
