@@ -72,33 +72,37 @@ def _(t):
     return lk.replace_links(t.links, fresh, fresh).select("source_path", "target_path")
 
 
-@query("outbound_links", "N2", "SELECT source_path, target_path FROM links WHERE source_path IN (SELECT concat('p', s_suppkey) FROM supplier)")
+def vault_files(t):
+    return t.supplier.select(F.concat(F.lit("v"), F.col("s_nationkey") % 5).alias("vault"), F.concat(F.lit("p"), "s_suppkey").alias("path"))
+
+
+@query("outbound_links", "N2", "SELECT vault, source_path, target_path FROM vault_links WHERE (vault, source_path) IN (SELECT (concat('v', s_nationkey % 5), concat('p', s_suppkey)) FROM supplier)")
 def _(t):
-    return lk.outbound(t.links, t.supplier.select(F.concat(F.lit("p"), "s_suppkey").alias("path"))).select("source_path", "target_path")
+    return lk.outbound(t.vault_links, vault_files(t)).select("vault", "source_path", "target_path")
 
 
-@query("backlinks", "N2", "SELECT source_path, target_path FROM links WHERE target_path IN (SELECT concat('p', s_suppkey) FROM supplier)")
+@query("backlinks", "N2", "SELECT vault, source_path, target_path FROM vault_links WHERE (vault, target_path) IN (SELECT (concat('v', s_nationkey % 5), concat('p', s_suppkey)) FROM supplier)")
 def _(t):
-    return lk.backlinks(t.links, t.supplier.select(F.concat(F.lit("p"), "s_suppkey").alias("path"))).select("source_path", "target_path")
+    return lk.backlinks(t.vault_links, vault_files(t)).select("vault", "source_path", "target_path")
 
 
-WALK = """(WITH RECURSIVE w AS (SELECT DISTINCT concat('p', s_nationkey) AS seed, concat('p', s_nationkey) AS node, 0 AS hop FROM supplier
-    UNION SELECT w.seed, l.target_path, w.hop + 1 FROM w JOIN links l ON l.source_path = w.node WHERE w.hop < 3)
-    SELECT seed, node, min(hop) AS hop FROM w GROUP BY ALL)"""
+WALK = """(WITH RECURSIVE w AS (SELECT DISTINCT concat('v', s_suppkey % 5) AS vault, concat('p', s_nationkey) AS seed, concat('p', s_nationkey) AS node, 0 AS hop FROM supplier
+    UNION SELECT w.vault, w.seed, l.target_path, w.hop + 1 FROM w JOIN vault_links l ON l.vault = w.vault AND l.source_path = w.node WHERE w.hop < 6)
+    SELECT vault, seed, node, min(hop) AS hop FROM w GROUP BY ALL)"""
 
 
 def seeds(t):
-    return t.supplier.select(F.concat(F.lit("p"), "s_nationkey").alias("path")).distinct()
+    return t.supplier.select(F.concat(F.lit("v"), F.col("s_suppkey") % 5).alias("vault"), F.concat(F.lit("p"), "s_nationkey").alias("path")).distinct()
 
 
-@query("link_graph_nodes", "N3", f"SELECT seed, node, hop FROM {WALK}")
+@query("link_graph_nodes", "N3", f"SELECT vault, seed, node, hop FROM {WALK}")
 def _(t):
-    return lk.link_graph(t.links, seeds(t), 3)[0].select("seed", "node", "hop")
+    return lk.link_graph(t.vault_links, seeds(t), 6)[0].select("vault", "seed", "node", "hop")
 
 
-@query("link_graph_edges", "N3", f"SELECT DISTINCT seed, source_path AS source, target_path AS target FROM {WALK} w JOIN links l ON l.source_path = w.node WHERE hop < 3")
+@query("link_graph_edges", "N3", f"SELECT DISTINCT w.vault, seed, source_path AS source, target_path AS target FROM {WALK} w JOIN vault_links l ON l.vault = w.vault AND l.source_path = w.node WHERE hop < 6")
 def _(t):
-    return lk.link_graph(t.links, seeds(t), 3)[1].select("seed", "source", "target")
+    return lk.link_graph(t.vault_links, seeds(t), 6)[1].select("vault", "seed", "source", "target")
 
 
 def linked_chunks(t):
@@ -135,26 +139,24 @@ def _(t):
     return lk.entity_graph(linked_chunks(t), "qui que", 2)[1]
 
 
-ALPHA = "(SELECT * FROM facts WHERE vault = 'alpha')"
-FORWARD = f"""(SELECT DISTINCT source, target, link_type FROM (SELECT fact_key AS source, supersedes AS target, 'supersedes' AS link_type FROM {ALPHA} UNION ALL SELECT fact_key, refines, 'refines' FROM {ALPHA}
-    UNION ALL SELECT fact_key, unnest(string_split(contradicts_csv, ',')), 'contradicts' FROM {ALPHA} UNION ALL SELECT fact_key, unnest(string_split(supports_csv, ',')), 'supports' FROM {ALPHA}) WHERE target <> '')"""
-BOTH = f"""(SELECT source AS node, source, target, link_type, target AS "to" FROM {FORWARD} UNION ALL SELECT target, source, target, CASE link_type WHEN 'supersedes' THEN 'superseded_by'
+FORWARD = """(SELECT DISTINCT vault, source, target, link_type FROM (SELECT vault, fact_key AS source, supersedes AS target, 'supersedes' AS link_type FROM facts UNION ALL SELECT vault, fact_key, refines, 'refines' FROM facts
+    UNION ALL SELECT vault, fact_key, unnest(string_split(contradicts_csv, ',')), 'contradicts' FROM facts UNION ALL SELECT vault, fact_key, unnest(string_split(supports_csv, ',')), 'supports' FROM facts) WHERE target <> '')"""
+BOTH = f"""(SELECT vault, source AS node, source, target, link_type, target AS "to" FROM {FORWARD} UNION ALL SELECT vault, target, source, target, CASE link_type WHEN 'supersedes' THEN 'superseded_by'
     WHEN 'refines' THEN 'refined_by' WHEN 'contradicts' THEN 'contradicted_by' ELSE 'supported_by' END, source FROM {FORWARD})"""
-FACT_WALK = f"""(WITH RECURSIVE b AS {BOTH}, w AS (SELECT DISTINCT supersedes AS seed, supersedes AS node, 0 AS hop FROM {ALPHA} WHERE supersedes IN (SELECT fact_key FROM {ALPHA})
-    UNION SELECT w.seed, b.to, w.hop + 1 FROM w JOIN b ON b.node = w.node WHERE w.hop < 2 AND b.to IN (SELECT fact_key FROM {ALPHA})) SELECT seed, node, min(hop) AS hop FROM w GROUP BY ALL)"""
+FACT_WALK = f"""(WITH RECURSIVE b AS {BOTH}, w AS (SELECT DISTINCT vault, supersedes AS seed, supersedes AS node, 0 AS hop FROM facts f WHERE EXISTS (SELECT 1 FROM facts k WHERE k.vault = f.vault AND k.fact_key = f.supersedes)
+    UNION SELECT w.vault, w.seed, b.to, w.hop + 1 FROM w JOIN b ON b.vault = w.vault AND b.node = w.node WHERE w.hop < 2 AND EXISTS (SELECT 1 FROM facts k WHERE k.vault = w.vault AND k.fact_key = b.to)) SELECT vault, seed, node, min(hop) AS hop FROM w GROUP BY ALL)"""
 
 
 def fact_walk(t):
-    facts = t.fact_table.filter("vault = 'alpha'")
-    return lk.fact_graph(facts, facts.filter("supersedes is not null").select(F.col("supersedes").alias("fact_key")), 2)
+    return lk.fact_graph(t.fact_table, t.fact_table.filter("supersedes is not null").select("vault", F.col("supersedes").alias("fact_key")), 2)
 
 
-@query("fact_graph_nodes", "N6", f"SELECT seed, node, hop FROM {FACT_WALK}")
+@query("fact_graph_nodes", "N6", f"SELECT vault, seed, node, hop FROM {FACT_WALK}")
 def _(t):
-    return fact_walk(t)[0].select("seed", "node", "hop")
+    return fact_walk(t)[0].select("vault", "seed", "node", "hop")
 
 
-@query("fact_graph_edges", "N6", f"SELECT DISTINCT w.seed, b.source, b.target, b.link_type FROM {FACT_WALK} w JOIN {BOTH} b ON b.node = w.node WHERE w.hop < 2")
+@query("fact_graph_edges", "N6", f"SELECT DISTINCT w.vault, w.seed, b.source, b.target, b.link_type FROM {FACT_WALK} w JOIN {BOTH} b ON b.vault = w.vault AND b.node = w.node WHERE w.hop < 2")
 def _(t):
     return fact_walk(t)[1]
 

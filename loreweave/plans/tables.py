@@ -88,6 +88,9 @@ DERIVED = {
     "links": """
         SELECT DISTINCT concat('p', l_partkey) AS source_path, concat('p', (l_partkey * 7 + l_suppkey) % 200) AS target_path,
           'wikilink' AS link_type FROM {lineitem}""",
+    "vault_links": """
+        SELECT DISTINCT concat('v', l_suppkey % 5) AS vault, concat('p', l_partkey % 40) AS source_path,
+          concat('p', (l_partkey * 7 + l_suppkey) % 40) AS target_path, 'wikilink' AS link_type FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 5 = 0""",
     "results": """
         SELECT event_id AS question_id, event_type AS question_type, substr('ABCD', CAST(event_id % 4 + 1 AS INT), 1) AS config,
           value > 50 AS correct, value AS latency_ms,
