@@ -81,8 +81,9 @@ def cooldown_gate(turns: DataFrame, seconds: float, key: str = "session_id", at:
     return placed.join(passed.withColumnRenamed("_node", "_n"), [key, "_n"], "left_semi").drop("_t", "_n")
 
 
-def apply_access(facts: DataFrame, reads: DataFrame, seconds: int = 60, every: int = 5, key: str = "fact_key", at: str = "read_at", order: tuple[str, ...] = ("read_id",)) -> DataFrame:
-    """Access count and last access of each fact after a batch of reads.
+def apply_access(facts: DataFrame, reads: DataFrame, seconds: int = 60, every: int = 5, key: str = "fact_key", at: str = "read_at", order: tuple[str, ...] = ("read_id",), reconsolidation: bool = False) -> DataFrame:
+    """Access count and last access of each fact after a batch of reads. With
+    ``reconsolidation`` a counted read is stamped as ``last_recalled_at`` too.
 
     A read counts when ``seconds`` have passed since the last counted one, or when the
     new count is a multiple of ``every``. The state of the chain is (read, count modulo
@@ -130,8 +131,12 @@ def apply_access(facts: DataFrame, reads: DataFrame, seconds: int = 60, every: i
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_more"), F.max(at).alias("_latest"))
     )
+    if reconsolidation:
+        recalled = F.col("last_recalled_at") if "last_recalled_at" in base.columns else F.lit(None).cast("timestamp_ntz")
+        base = base.withColumn("last_recalled_at", recalled)
     return (
         base.join(counted, key, "left")
+        .withColumns({"last_recalled_at": F.coalesce("_latest", "last_recalled_at")} if reconsolidation else {})
         .withColumn("access_count", (F.col("access_count") + F.coalesce("_more", F.lit(0))).cast("int"))
         .withColumn("last_accessed_at", F.coalesce("_latest", "last_accessed_at"))
         .drop("_more", "_latest")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave import skew
 from loreweave.functions import clock, text
 from loreweave.operators.filters import valid_at
+from loreweave.operators.links import scope_of
 
 MAX_INSTANTS = 1000
 
@@ -29,15 +30,18 @@ def upsert_entities(entities: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def resolve_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations between names to edges between ids; unresolved ones fall out."""
+    """Relations between names to edges between ids; unresolved ones fall out. Names are
+    looked up among the entities of the same vault and extraction, where both tables
+    name them."""
+    scope = scope_of(relations, entities)
 
     def side(role: str) -> DataFrame:
-        return entities.groupBy(F.lower(F.trim("name")).alias(f"_{role}")).agg(F.min("id").alias(f"{role}_id"))
+        return entities.groupBy(*scope, F.lower(F.trim("name")).alias(f"_{role}")).agg(F.min("id").alias(f"{role}_id"))
 
     named = relations.withColumns({"_source": F.lower(F.trim("source")), "_target": F.lower(F.trim("target"))})
     return (
-        named.join(side("source"), "_source")
-        .join(side("target"), "_target")
+        named.join(side("source"), [*scope, "_source"])
+        .join(side("target"), [*scope, "_target"])
         .withColumn("type", text.normalize_rel_type(F.col("type")))
         .filter(F.col("type") != "")
         .drop("_source", "_target")

@@ -15,9 +15,10 @@ MAX_DEPTH = 5
 CONTEXT = 200
 
 
-def _scope(*frames: DataFrame) -> list[str]:
-    """``vault`` where all tables have it: paths and keys then mean those of their vault."""
-    return [c for c in ("vault",) if all(c in f.columns for f in frames)]
+def scope_of(*frames: DataFrame) -> list[str]:
+    """The columns of ``vault`` and ``extraction_id`` that all tables have: paths, names
+    and keys then mean those of their vault and of their extraction."""
+    return [c for c in ("vault", "extraction_id") if all(c in f.columns for f in frames)]
 
 
 # ── resolution ────────────────────────────────────────────────────────────────
@@ -28,7 +29,7 @@ def resolve_targets(targets: DataFrame, paths: DataFrame) -> DataFrame:
     display name; the smallest path wins inside a rule. Each rule becomes keys on both
     sides, so all of them are one equi join against a table that is unique per key.
     """
-    scope = _scope(targets, paths)
+    scope = scope_of(targets, paths)
     asked = targets.select(*scope, "target").filter(F.col("target") != "").distinct()
     # Suffixes of a path are only cut at lengths some target has.
     lengths = asked.agg(F.collect_set(F.length("target"))).scalar()
@@ -80,7 +81,7 @@ def _context(body: Column, at: Column, length: Column) -> Column:
 
 def wiki_links(docs: DataFrame, paths: DataFrame) -> DataFrame:
     """Resolved wiki links of ``docs(path, text)``, each (source, target) once."""
-    scope = _scope(docs, paths)
+    scope = scope_of(docs, paths)
     found = docs.select(
         *scope,
         "path",
@@ -106,7 +107,7 @@ def path_references(docs: DataFrame, paths: DataFrame) -> DataFrame:
     a closing one. The first occurrence of the path then has to be a clean one. A path
     with spaces spans several words; the most words of any known path is looked up.
     """
-    scope = _scope(docs, paths)
+    scope = scope_of(docs, paths)
     known = paths.select(*scope, F.col("path").alias("target_path")).distinct()
     most_words = known.agg(F.coalesce(F.max(F.regexp_count("target_path", F.lit(" "))), F.lit(0)) + 1).scalar()
 
@@ -150,7 +151,7 @@ def path_references(docs: DataFrame, paths: DataFrame) -> DataFrame:
 def build_links(docs: DataFrame, paths: DataFrame) -> DataFrame:
     """All links of the documents with the paragraph around their first mention."""
     found = wiki_links(docs, paths).unionByName(path_references(docs, paths))
-    scope = _scope(docs, paths)
+    scope = scope_of(docs, paths)
     bodies = docs.select(*scope, F.col("path").alias("source_path"), "text")
     at = F.expr("locate(raw, text)") - 1
     return found.join(bodies, [*scope, "source_path"]).select(
@@ -160,17 +161,17 @@ def build_links(docs: DataFrame, paths: DataFrame) -> DataFrame:
 
 def replace_links(links: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
     """Next link table: re-read sources lose their old links."""
-    keys = [*_scope(links, sources), "source_path"]
+    keys = [*scope_of(links, sources), "source_path"]
     return links.join(sources.select(*keys).distinct(), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def outbound(links: DataFrame, paths: DataFrame) -> DataFrame:
-    scope = _scope(links, paths)
+    scope = scope_of(links, paths)
     return links.join(paths.select(*scope, F.col("path").alias("source_path")).distinct(), [*scope, "source_path"], "left_semi")
 
 
 def backlinks(links: DataFrame, paths: DataFrame) -> DataFrame:
-    scope = _scope(links, paths)
+    scope = scope_of(links, paths)
     return links.join(paths.select(*scope, F.col("path").alias("target_path")).distinct(), [*scope, "target_path"], "left_semi")
 
 
@@ -185,7 +186,7 @@ def traverse(seeds: DataFrame, depth: int, expand: Callable[[DataFrame], DataFra
     very many edges is only ever split on the edge side. A ``vault`` column of the seeds
     goes along and is part of every key.
     """
-    scope = _scope(seeds)
+    scope = scope_of(seeds)
     walk = [*scope, "seed", "node"]
     nodes = seeds.select(*walk, F.lit(0).alias("hop"), F.lit("source").alias("link_type"))
     frontier, all_edges = seeds.select(*walk), None
@@ -205,7 +206,7 @@ def traverse(seeds: DataFrame, depth: int, expand: Callable[[DataFrame], DataFra
 def link_graph(links: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within ``depth`` hops of each seed path, inside its vault if both
     tables name one."""
-    scope = _scope(links, seeds)
+    scope = scope_of(links, seeds)
     hops = links.select(*scope, F.col("source_path").alias("node"), F.col("source_path").alias("source"), F.col("target_path").alias("target"), "link_type").distinct()
     start = seeds.select(*scope, F.col("path").alias("seed"), F.col("path").alias("node")).distinct()
     return traverse(start, depth, lambda f: f.join(hops, [*scope, "node"]).withColumn("to", F.col("target")))
@@ -214,7 +215,7 @@ def link_graph(links: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> tu
 def vault_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File nodes with display names, and distinct ``links_to`` edges."""
     files = chunks.filter(F.col("source_file") != "")
-    scope = _scope(chunks)
+    scope = scope_of(chunks)
     nodes = files.select(*scope, "source_file").distinct().select(
         *scope, F.concat(F.lit("file:"), "source_file").alias("id"), F.lit("file").alias("type"), text.display_name(F.col("source_file")).alias("label")
     )
@@ -229,7 +230,7 @@ def vault_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def entity_graph(chunks: DataFrame, entity: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """Files that mention the entity (hop 1) and the files they link to."""
-    scope = _scope(chunks)
+    scope = scope_of(chunks)
     links = chunks.select(*scope, F.col("source_file").alias("source_path"), F.explode("links_to").alias("target_path")).filter(F.col("target_path") != "")
     hits = chunks.filter((F.col("source_file") != "") & F.col("text").contains(entity)).select(*scope, F.col("source_file").alias("node")).distinct()
     me = F.lit(f"entity:{entity}")
@@ -264,7 +265,7 @@ def fact_edges(facts: DataFrame) -> DataFrame:
         named("supersedes", F.array("supersedes")), named("refines", F.array("refines")),
         named("contradicts", F.coalesce("contradicts", none)), named("supports", F.coalesce("supports", none)),
     )
-    scope = _scope(facts)
+    scope = scope_of(facts)
     rows = facts.select(*scope, F.col("fact_key").alias("source"), F.explode(all_).alias("e")).select(*scope, "source", "e.target", "e.link_type")
     return rows.filter(F.coalesce(F.col("target") != "", F.lit(False))).distinct()
 
@@ -275,7 +276,7 @@ def fact_graph(facts: DataFrame, keys: DataFrame, depth: int = 1) -> tuple[DataF
     that do not exist are shown but not entered."""
     # Names of the reverse relations.
     reverse = {"supersedes": "superseded_by", "refines": "refined_by", "contradicts": "contradicted_by", "supports": "supported_by"}
-    scope = _scope(facts, keys)
+    scope = scope_of(facts, keys)
     forward = fact_edges(facts)
     names = F.create_map(*[F.lit(x) for kv in reverse.items() for x in kv])
     both = forward.select(*scope, F.col("source").alias("node"), "source", "target", "link_type", F.col("target").alias("to")).unionByName(

@@ -11,6 +11,7 @@ from loreweave import skew
 from loreweave.functions import clock, text
 from loreweave.functions import facts as ff
 from loreweave.operators import review, vector
+from loreweave.operators.links import scope_of
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -133,10 +134,11 @@ def stale_files(files: DataFrame, as_of, days: int = 90) -> DataFrame:
 
 
 def duplicate_names(files: DataFrame) -> DataFrame:
-    """Files that share a name with a file earlier in path order (one row each)."""
-    named = files.select(text.basename(F.col("path")).alias("filename"), "path")
-    first = named.groupBy("filename").agg(F.min("path").alias("path_a"))
-    return named.join(first, "filename").filter(F.col("path") > F.col("path_a")).select("filename", "path_a", F.col("path").alias("path_b"))
+    """Files that share a name with a file of their vault earlier in path order (one row each)."""
+    scope = scope_of(files)
+    named = files.select(*scope, text.basename(F.col("path")).alias("filename"), "path")
+    first = named.groupBy(*scope, "filename").agg(F.min("path").alias("path_a"))
+    return named.join(first, [*scope, "filename"]).filter(F.col("path") > F.col("path_a")).select(*scope, "filename", "path_a", F.col("path").alias("path_b"))
 
 
 def empty_dirs(listing: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from loreweave import skew
 from loreweave.functions import facts as ff
 from loreweave.functions import text
 from loreweave.operators import filters, lexical, parsing, vector
+from loreweave.operators.links import scope_of
 
 RRF_K = 60
 RERANK_HEAD = 50
@@ -281,8 +282,9 @@ def verify(statements: DataFrame, chunks: DataFrame, key: str, k: int = 10, supp
 
 def enrich_links(results: DataFrame, links: DataFrame) -> DataFrame:
     """Outbound links next to each hit, one row per link; hits without links stay."""
-    out = links.select(F.col("source_path").alias("source_file"), F.col("target_path").alias("link_target"), "link_type")
-    return results.join(out, "source_file", "left")
+    scope = scope_of(results, links)
+    out = links.select(*scope, F.col("source_path").alias("source_file"), F.col("target_path").alias("link_target"), "link_type")
+    return results.join(out, [*scope, "source_file"], "left")
 
 
 # ── bundles ───────────────────────────────────────────────────────────────────

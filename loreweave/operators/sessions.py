@@ -125,6 +125,13 @@ def gist_facts(gists: DataFrame, as_of, ttl_days: int = 365) -> DataFrame:
     )
 
 
+def mark_finalized(sessions: DataFrame, turns: DataFrame, as_of) -> DataFrame:
+    """Sessions with ``finalized_at``: those with turns get ``as_of`` unless they have one."""
+    spoken = turns.select("session_id").distinct().withColumn("_at", clock.instant(as_of))
+    had = F.col("finalized_at") if "finalized_at" in sessions.columns else F.lit(None)
+    return sessions.join(spoken, "session_id", "left").withColumn("finalized_at", F.coalesce(had, "_at")).drop("_at")
+
+
 def finalize(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     """Summary fact of each session and a fact per assistant turn with a decision."""
     low = F.lower("content")

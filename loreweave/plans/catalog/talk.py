@@ -103,6 +103,11 @@ def _(t):
     return ss.finalize(t.sessions, t.dialogue).select("vault", "fact_key", "fact_value", "confidence")
 
 
+@query("finalized_sessions", "L18", f"SELECT session_id, CASE WHEN session_id IN (SELECT session_id FROM turns WHERE turn_id % 2 = 1) THEN {NOW} END AS finalized_at FROM sessions")
+def _(t):
+    return ss.mark_finalized(t.sessions, t.turns.filter("turn_id % 2 = 1"), AS_OF).select("session_id", "finalized_at")
+
+
 @query("cooldown_gate", "P2", """
     WITH RECURSIVE g AS (SELECT agent, min(created_at) AS at FROM log_entries GROUP BY agent
       UNION ALL SELECT g.agent, (SELECT min(created_at) FROM log_entries l WHERE l.agent = g.agent AND l.created_at >= g.at + INTERVAL '12' HOUR) FROM g WHERE g.at IS NOT NULL)
@@ -113,7 +118,7 @@ def _(t):
 
 
 READS = "(SELECT vault || '|' || fact_key AS fact_id, event_id AS read_id, created_at + INTERVAL '1' HOUR * 18 AS read_at FROM facts_in)"
-BASE = "(SELECT vault || '|' || fact_key AS fact_id, access_count, last_accessed_at FROM facts)"
+BASE = "(SELECT vault || '|' || fact_key AS fact_id, access_count, last_accessed_at, last_recalled_at FROM facts)"
 
 
 @query("apply_access", "L14,P3", f"""
@@ -122,12 +127,13 @@ BASE = "(SELECT vault || '|' || fact_key AS fact_id, access_count, last_accessed
       UNION ALL SELECT f.fact_id, f.n + 1,
         CASE WHEN f.l IS NULL OR r.read_at >= f.l + INTERVAL '60' HOUR OR (f.c + 1) % 5 = 0 THEN f.c + 1 ELSE f.c END,
         CASE WHEN f.l IS NULL OR r.read_at >= f.l + INTERVAL '60' HOUR OR (f.c + 1) % 5 = 0 THEN r.read_at ELSE f.l END FROM f JOIN r ON r.fact_id = f.fact_id AND r.n = f.n + 1)
-    SELECT fact_id, c AS access_count, l AS last_accessed_at FROM f QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY n DESC) = 1""")
+    SELECT f.fact_id, c AS access_count, l AS last_accessed_at, CASE WHEN c > b.access_count THEN l ELSE b.last_recalled_at END AS last_recalled_at
+    FROM f JOIN {BASE} b ON b.fact_id = f.fact_id QUALIFY row_number() OVER (PARTITION BY f.fact_id ORDER BY n DESC) = 1""")
 def _(t):
     fact_id = F.concat("vault", F.lit("|"), "fact_key").alias("fact_id")
-    facts = t.facts.select(fact_id, "access_count", "last_accessed_at")
+    facts = t.facts.select(fact_id, "access_count", "last_accessed_at", "last_recalled_at")
     reads = t.facts_in.select(fact_id, F.col("event_id").alias("read_id"), (F.col("created_at") + F.expr("INTERVAL '18' HOUR")).alias("read_at"))
-    return gates.apply_access(facts, reads, 60 * 3600, 5, "fact_id")
+    return gates.apply_access(facts, reads, 60 * 3600, 5, "fact_id", reconsolidation=True)
 
 
 # ── procedures ────────────────────────────────────────────────────────────────

@@ -14,8 +14,10 @@ from loreweave.operators import gates
 from loreweave.operators import graph as gr
 from loreweave.operators import lexical as lx
 from loreweave.operators import lifecycle as lc
+from loreweave.operators import links as lk
 from loreweave.operators import parsing as ps
 from loreweave.operators import procedures as pr
+from loreweave.operators import reports as rp
 from loreweave.operators import retrieval as rt
 from loreweave.operators import review as rv
 from loreweave.operators import sessions as ss
@@ -227,3 +229,29 @@ def test_threshold_rules(spark):
     df = spark.createDataFrame(rows, "reason_type string, action string")
     out = {r["reason_type"]: (r["recommended"], r["auto_apply"]) for r in rv.threshold_recommendations(df).collect()}
     assert out == {"conflict": (0.9, True), "low_confidence": (0.6, True)}
+
+
+def test_vaults_share_paths_but_not_links(spark):
+    docs = spark.createDataFrame([("a", "x.md", "see [[y]] at z.md"), ("b", "x.md", "see [[y]] at z.md")], "vault string, path string, text string")
+    paths = spark.createDataFrame([("a", "y.md"), ("a", "x.md"), ("b", "z.md")], "vault string, path string")
+    links = lk.build_links(docs, paths)
+    assert sorted((r["vault"], r["source_path"], r["target_path"]) for r in links.collect()) == [("a", "x.md", "y.md"), ("b", "x.md", "z.md")]
+    chunks = spark.createDataFrame([("a", "x.md", "hit", ["y.md"]), ("b", "y.md", "no", ["z.md"])], "vault string, source_file string, text string, links_to array<string>")
+    nodes, edges = lk.entity_graph(chunks, "hit", 3)
+    assert sorted((r["vault"], r["id"]) for r in nodes.collect()) == [("a", "entity:hit"), ("a", "file:x.md"), ("a", "file:y.md")]
+    assert edges.count() == 2
+
+
+def test_vaults_share_names_but_not_entities(spark):
+    entities = spark.createDataFrame([("a", "e1", "Ann"), ("b", "e2", "Ann"), ("a", "e3", "Bob")], "vault string, id string, name string")
+    relations = spark.createDataFrame([("a", "ann", "bob", "knows"), ("b", "ann", "bob", "knows")], "vault string, source string, target string, type string")
+    got = gr.resolve_relations(relations, entities).select("vault", "source_id", "target_id").collect()
+    assert [tuple(r) for r in got] == [("a", "e1", "e3")]
+    files = spark.createDataFrame([("a", "p/n.md"), ("b", "q/n.md"), ("a", "r/n.md")], "vault string, path string")
+    assert [tuple(r) for r in rp.duplicate_names(files).collect()] == [("a", "n.md", "p/n.md", "r/n.md")]
+
+
+def test_contradictions_show_every_value(spark):
+    facts = spark.createDataFrame([("A", "k", "1"), ("B", "k", "2"), ("C", "k", "3"), ("A", "s", "1"), ("B", "s", "1")], "vault string, fact_key string, fact_value string")
+    got = sorted((r["value"], r["vaults"], r["n_values"]) for r in rp.cross_vault_contradictions(facts).collect())
+    assert got == [("1", 1, 3), ("2", 1, 3), ("3", 1, 3)]
