@@ -197,6 +197,29 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         keep = np.concatenate([keep, cross[pair]])
 
 
+def _cells(routed: DataFrame, key: str, *more: str) -> DataFrame:
+    """Rows ``(tree, shard, r, c, key, more, member)`` of shards cut in cells: a large shard's
+    members by row, its visitors by column, so that each pair meets in one cell and a
+    cell holds about ``CELL`` of either at most."""
+    sizes = (
+        routed.groupBy("tree", "shard")
+        .agg(F.sum(F.col("home").cast("long")).alias("members"), F.count(F.lit(1)).alias("visitors"))
+        .select(
+            "tree", "shard",
+            F.ceil(F.col("members") / CELL).cast("int").alias("rows"),
+            F.ceil(F.col("visitors") / CELL).cast("int").alias("cols"),
+        )
+    )
+    seed = F.xxhash64(key)
+    whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(whole("cols"), lambda c: F.struct(F.pmod(seed, F.col("rows")).cast("int").alias("r"), c.alias("c"), F.lit(True).alias("member")))
+    as_visitor = F.transform(whole("rows"), lambda r: F.struct(r.alias("r"), F.pmod(seed, F.col("cols")).cast("int").alias("c"), F.lit(False).alias("member")))
+    none = F.array().cast("array<struct<r:int,c:int,member:boolean>>")
+    met = routed.join(sizes, ["tree", "shard"]).filter("rows > 0")
+    dealt = met.withColumn("cell", F.explode(F.concat(F.when(F.col("home"), as_member).otherwise(none), as_visitor)))
+    return dealt.select("tree", "shard", F.col("cell.r").alias("r"), F.col("cell.c").alias("c"), key, *more, F.col("cell.member").alias("member"))
+
+
 def link(fps: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` among distinct fingerprints ``fps(fp)`` that connect exactly
     what pairs of at most three differing bits connect. A shard gives a spanning
@@ -219,32 +242,7 @@ def link(fps: DataFrame) -> DataFrame:
                 )
 
     routed = fps.select("fp").mapInArrow(route, "tree int, shard int, fp bigint, home boolean")
-    sizes = (
-        routed.groupBy("tree", "shard")
-        .agg(F.sum(F.col("home").cast("long")).alias("members"), F.count(F.lit(1)).alias("visitors"))
-        .select(
-            "tree", "shard",
-            F.ceil(F.col("members") / CELL).cast("int").alias("rows"),
-            F.ceil(F.col("visitors") / CELL).cast("int").alias("cols"),
-        )
-    )
-    seed = F.xxhash64("fp")
-    whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = (
-        routed.join(sizes, ["tree", "shard"])
-        .filter("rows > 0")
-        .withColumn(
-            "cell",
-            F.explode(
-                F.concat(
-                    F.when(F.col("home"), F.transform(whole("cols"), lambda c: F.struct(F.pmod(seed, F.col("rows")).cast("int").alias("r"), c.alias("c"), F.lit(True).alias("member"))))
-                    .otherwise(F.array().cast("array<struct<r:int,c:int,member:boolean>>")),
-                    F.transform(whole("rows"), lambda r: F.struct(r.alias("r"), F.pmod(seed, F.col("cols")).cast("int").alias("c"), F.lit(False).alias("member"))),
-                )
-            ),
-        )
-        .select("tree", "shard", F.col("cell.r").alias("r"), F.col("cell.c").alias("c"), "fp", F.col("cell.member").alias("member"))
-    )
+    dealt = _cells(routed, "fp")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         fp = rows.column("fp").to_numpy()
@@ -286,14 +284,148 @@ def _groups(marked: DataFrame, member: Column) -> DataFrame:
     return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
 
 
+# ── near-duplicates by similarity ─────────────────────────────────────────────
+# Texts with four fifths of their shingles in common differ in about 15 % of their bits,
+# too far apart for one 64-bit fingerprint and a small radius. So a sketch has three
+# fingerprints, 192 bits. In such a pair each 16-bit block differs in at most one bit with
+# probability 0.28, and at least one of twelve blocks does with 0.98 (at 10 % of the bits,
+# 0.9998). There is a vantage-point tree of radius one per block; what meets in a shard is
+# linked if whole sketches differ in at most ``LIKE`` bits.
+
+#: Fingerprints of a sketch, bits of a block, bits that may differ, members of a shard.
+WORDS, BITS, LIKE, WIDE = 3, 16, 40, 16_384
+
+_SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of the same shingles."""
+    h = (h ^ (h >> np.uint64(30))) * _SPREAD[0]
+    h = (h ^ (h >> np.uint64(27))) * _SPREAD[1]
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: bytes | None, shingle: int = 5) -> list[int]:
+    """``WORDS`` SimHash fingerprints of a text, as signed integers."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    if not words:
+        return [0] * WORDS
+    runs = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+    h = np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), dtype=np.uint64)
+    out = []
+    for _ in range(WORDS):
+        mark = _majority(h)
+        out.append(mark - (1 << 64) if mark >> 63 else mark)
+        h = _remixed(h)
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The columns of ``docs`` but ``text``, and ``marks``, its sketch."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [sketch(t.as_py(), shingle) for t in b.column(len(kept)).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(marks, pa.list_(pa.int64()))], [*kept, "marks"])
+
+    kind = T.StructType([docs.schema[c] for c in kept] + [T.StructField("marks", T.ArrayType(T.LongType()))])
+    return docs.select(*kept, "text").mapInArrow(run, kind)
+
+
+def _marks(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS).view(np.uint64)
+
+
+def _block(marks: np.ndarray, t: int) -> np.ndarray:
+    """Block ``t`` of each sketch, as a small integer."""
+    per = 64 // BITS
+    return ((marks[:, t // per] >> np.uint64(BITS * (t % per))) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
+
+
+def _alike(of_m, of_v, marks_m, marks_v, members, visitors, seed, out) -> None:
+    """As ``_search``, for sketches: shards end in blocks that are compared whole."""
+    found = _cut(of_m[members], seed) if len(members) > BLOCK else None
+    if found is None:
+        for at in range(0, len(visitors), 2_048):
+            v = visitors[at : at + 2_048]
+            for to in range(0, len(members), 1_024):
+                m = members[to : to + 1_024]
+                near = np.bitwise_count(of_v[v][:, None] ^ of_m[m][None, :]) <= 1
+                i, j = np.nonzero(near)
+                apart = np.bitwise_count(marks_v[v[i]] ^ marks_m[m[j]]).sum(axis=1, dtype=np.int64)
+                ok = apart <= LIKE
+                if ok.any():
+                    out.append((v[i[ok]], m[j[ok]]))
+                    if len(out) > 256:
+                        _shrink(out)
+        return
+    vantage, cut = found
+    d_m = np.bitwise_count(of_m[members] ^ vantage)
+    d_v = np.bitwise_count(of_v[visitors] ^ vantage).astype(np.int64)
+    near = d_m <= cut
+    _alike(of_m, of_v, marks_m, marks_v, members[near], visitors[d_v <= cut + 1], seed + 1, out)
+    _alike(of_m, of_v, marks_m, marks_v, members[~near], visitors[d_v > cut - 1], seed + 2, out)
+
+
+def link_similar(known: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` between distinct sketches ``known(id, marks)`` that connect what the
+    pairs found connect. A shard gives a spanning forest, not its pairs."""
+    n = known.count()
+    share = min(1.0, SAMPLE / 4 / max(n, 1))
+    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("marks")
+    values = np.array([r[0] for r in sample.toLocalIterator()], dtype=np.int64).reshape(-1, WORDS).view(np.uint64)
+    trees_n = WORDS * 64 // BITS
+    leaf = max(8, int(WIDE * len(values) / max(n, 1)))
+    trees = [build_tree(_block(values, t), leaf) if len(values) else [] for t in range(trees_n)]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = _marks(b.column(1))
+            for t in range(trees_n):
+                rows, shard, home = _route(_block(marks, t), trees[t])
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), t, np.int32)), pa.array(shard), b.column(0).take(take), b.column(1).take(take), pa.array(home)],
+                    ["tree", "shard", "id", "marks", "home"],
+                )
+
+    routed = known.select("id", "marks").mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, home boolean")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        t, member = key[0].as_py(), rows.column("member").to_numpy(zero_copy_only=False)
+        marks, ids = _marks(rows.column("marks")), rows.column("id").to_numpy()
+        m, v, out = marks[member], marks[~member], []
+        _alike(_block(m, t), _block(v, t), m, v, np.arange(len(m)), np.arange(len(v)), 0, out)
+        a = np.concatenate([ids[~member][x] for x, _ in out] or [np.zeros(0, np.int64)])
+        b = np.concatenate([ids[member][y] for _, y in out] or [np.zeros(0, np.int64)])
+        points, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _forest(code[: len(a)], code[len(a) :], len(points))
+        edge = root != np.arange(len(points))
+        return pa.table({"a": points[edge], "b": points[root[edge]]})
+
+    dealt = _cells(routed, "id", "marks")
+    return dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id
     (null ids last, then by a hash of the text). Of repeated equal rows one stays.
-    All columns stay as they are."""
+
+    Near are texts with about four fifths or more of their ``shingle``-word shingles in
+    common, by sketch. Texts without words are one group. All columns stay as they are.
+    """
     of = docs.withColumn("_hash", F.xxhash64("text"))
-    marked = durable(fingerprints(of.select("doc_id", "_hash", "text"), shingle))
-    low = _groups(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
-    rows = marked.groupBy("doc_id", "_hash", "fp").agg(F.count(F.lit(1)).alias("rows")).join(low, "fp")
+    marked = durable(sketches(of.select("doc_id", "_hash", "text"), shingle))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
+    known = durable(marked.groupBy("marks").agg(least.alias("first")).withColumn("id", F.monotonically_increasing_id()))
+    groups = components(link_similar(known.select("id", "marks")))
+    rooted = known.join(groups, known["id"] == groups["node"], "left").select("marks", "first", F.coalesce("root", "id").alias("root"))
+    low = rooted.select("marks", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("marks", "first")
+    rows = marked.groupBy("doc_id", "_hash", "marks").agg(F.count(F.lit(1)).alias("rows")).join(low, "marks")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_hash") == F.col("first._hash"))
     verdict = durable(rows.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"), stays.alias("stays"), "rows"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
