@@ -165,9 +165,7 @@ def _search(members, visitors, half_m, half_v, seed, out) -> None:
             for to in range(0, len(members), 1_024):
                 m = members[to : to + 1_024]
                 i, j = np.nonzero(np.bitwise_count(fps_v[v][:, None] ^ fps_m[m][None, :]) <= RADIUS)
-                out.append((v[i], m[j]))
-                if len(out) > 256:  # a dense shard keeps a spanning forest, not its pairs
-                    _shrink(out)
+                _keep(out, v, m, i, j)
         return
     vantage, cut = found
     d_m = np.bitwise_count(of_m[members] ^ vantage)
@@ -177,24 +175,33 @@ def _search(members, visitors, half_m, half_v, seed, out) -> None:
     _search(members[~near], visitors[d_v > cut - HALF_RADIUS], half_m, half_v, seed + 2, out)
 
 
-def _shrink(out: list) -> None:
-    """Replaces pairs by few of them that connect the same points."""
-    v, m = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-    points, code = np.unique(np.concatenate([v * 2, m * 2 + 1]), return_inverse=True)
-    keep = _spanning(code[: len(v)], code[len(v) :], len(points))
-    out[:] = [(v[keep], m[keep])]
-
-
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Indexes of few edges that connect what all edges connect."""
-    keep = np.unique(a, return_index=True)[1]
+    """Indexes of few of the edges ``a - b`` among ``n`` points that connect what all do."""
+    back = np.arange(len(a) - 1, -1, -1)
+    first_a, first_b = np.full(n, -1), np.full(n, -1)
+    first_a[a[back]], first_b[b[back]] = back, back  # the last write, the first edge, stays
+    keep = np.union1d(first_a[first_a >= 0], first_b[first_b >= 0])
     while True:
         have = _forest(a[keep], b[keep], n)
         cross = np.flatnonzero(have[a] != have[b])
         if not len(cross):
             return keep
-        pair = np.unique(np.stack([np.minimum(have[a], have[b])[cross], np.maximum(have[a], have[b])[cross]]), axis=1, return_index=True)[1]
-        keep = np.concatenate([keep, cross[pair]])
+        x, y = have[a[cross]], have[b[cross]]
+        keep = np.concatenate([keep, cross[np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)[1]]])
+
+
+def _keep(out: list, v: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Adds the pairs ``v[i], m[j]`` to ``out``; of very many, a spanning forest."""
+    if len(i) > 8 * (len(v) + len(m)):
+        few = _spanning(i, j + len(v), len(v) + len(m))
+        i, j = i[few], j[few]
+    if len(i):
+        out.append((v[i], m[j]))
+    if len(out) > 256:
+        a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        points, code = np.unique(np.concatenate([a * 2, b * 2 + 1]), return_inverse=True)
+        few = _spanning(code[: len(a)], code[len(a) :], len(points))
+        out[:] = [(a[few], b[few])]
 
 
 def _cells(routed: DataFrame, key: str, *more: str) -> DataFrame:
@@ -357,11 +364,7 @@ def _alike(of_m, of_v, marks_m, marks_v, members, visitors, seed, out) -> None:
                 near = np.bitwise_count(of_v[v][:, None] ^ of_m[m][None, :]) <= 1
                 i, j = np.nonzero(near)
                 apart = np.bitwise_count(marks_v[v[i]] ^ marks_m[m[j]]).sum(axis=1, dtype=np.int64)
-                ok = apart <= LIKE
-                if ok.any():
-                    out.append((v[i[ok]], m[j[ok]]))
-                    if len(out) > 256:
-                        _shrink(out)
+                _keep(out, v, m, i[apart <= LIKE], j[apart <= LIKE])
         return
     vantage, cut = found
     d_m = np.bitwise_count(of_m[members] ^ vantage)
