@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreweave.llm.common import lower_ascii, table
+from loreweave.session import durable, release
 
 #: Words of the dictionary, the longest part a segmentation uses, and the guesses (as a
 #: power of ten) from which a value is a secret.
@@ -142,10 +143,21 @@ def _in_letters(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
     """Ranks of the ``size`` most frequent words (letters only, three or more, A-Z in
-    lower case) of whole ``docs(text)``; counted before the shuffle, ties by word."""
+    lower case) of whole ``docs(text)``; counted before the shuffle, ties by word.
+
+    How many words have about which count says first from where on the top ones lie, so
+    that only they and a few more are sorted, not ``size`` rows of each task.
+    """
     words = F.explode(F.split(lower_ascii(F.col("text")), r"[^\p{L}]+"))
     counts = docs.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.length("word") >= 3)
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = durable(counts.withColumn("level", F.floor(F.log2("n") * 8).cast("int")))
+    enough, least = 0, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        enough, least = enough + r["count"], r["level"]
+        if enough >= size:
+            break
+    top = counts.filter(F.col("level") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
+    release(counts)
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
     for r in top:
         ranks.setdefault(r["word"], len(ranks) + 1)

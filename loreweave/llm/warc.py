@@ -28,6 +28,8 @@ from loreweave.session import durable, shared_dir
 
 #: Uncompressed bytes of a frame and compressed bytes of a bundle; one record may exceed a frame.
 FRAME, BUNDLE, LEVEL = 1 << 20, 64 << 20, 3
+#: Most tasks that read bundles at a time; each reads one after the other.
+READERS = 10_000
 #: Least payload bytes for which equal payloads become revisits.
 LEAST = 0
 # Numbers of the seekable format, and the revisit profile of WARC 1.1.
@@ -217,8 +219,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                             rows.append(row)
                         yield _batch(rows, payloads)
 
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition("bundle").mapInArrow(run, _READ)
+    bundles = durable(index.select("bundle").distinct())
+    # Paths are few bytes that stand for many, so their number says how many tasks to make.
+    tasks = max(1, min(bundles.count(), READERS))
+    return bundles.repartition(tasks, "bundle").mapInArrow(run, _READ)
 
 
 def lookup(index: DataFrame, folder: str, ids: DataFrame) -> DataFrame:
