@@ -186,20 +186,26 @@ def frequent(docs: DataFrame, texts: int, shards: int) -> Layout:
 
 
 def _packed(codes: list[np.ndarray], n: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Counted triples with a dictionary of the hashes they use."""
+    """Counted triples with a dictionary of the hashes they use, as steps of seven bytes
+    wherever those are enough."""
     used = np.zeros(len(hashes), bool)
     for c in codes:
         used[c] = True
     place = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
     words = hashes[used]
     kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
-    sizes = np.array([len(words), len(n), np.dtype(kind).itemsize], np.int64)
-    return b"".join([sizes.tobytes(), words.tobytes(), n.astype(np.uint32).tobytes(), *(place[c].astype(kind).tobytes() for c in codes)])
+    steps = np.diff(words, prepend=np.uint64(0))
+    step = 8 if (steps >> np.uint64(56)).any() else 7
+    listed = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :step])
+    sizes = np.array([len(words), len(n), np.dtype(kind).itemsize, step], np.int64)
+    return b"".join([sizes.tobytes(), listed.tobytes(), n.astype(np.uint32).tobytes(), *(place[c].astype(kind).tobytes() for c in codes)])
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    words, rows, width = (int(x) for x in np.frombuffer(data, np.int64, 3))
-    hashes, at = np.frombuffer(data, np.uint64, words, 24), 24 + 8 * words
+    words, rows, width, step = (int(x) for x in np.frombuffer(data, np.int64, 4))
+    steps, at = np.zeros((words, 8), np.uint8), 32 + step * words
+    steps[:, :step] = np.frombuffer(data, np.uint8, step * words, 32).reshape(-1, step)
+    hashes = np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
     n = np.frombuffer(data, np.uint32, rows, at)
     codes = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, 3 * rows, at + 4 * rows).reshape(3, rows)
     return [*(hashes[c] for c in codes), n.astype(np.int64)]
