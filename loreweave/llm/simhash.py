@@ -14,7 +14,7 @@ Pairs are exact: the sample decides where cuts lie, never which pairs are found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -292,15 +292,18 @@ def _groups(marked: DataFrame, member: Column) -> DataFrame:
 
 
 # ── near-duplicates by similarity ─────────────────────────────────────────────
-# Texts with four fifths of their shingles in common differ in about 15 % of their bits,
-# too far apart for one 64-bit fingerprint and a small radius. So a sketch has three
-# fingerprints, 192 bits. In such a pair each 16-bit block differs in at most one bit with
-# probability 0.28, and at least one of twelve blocks does with 0.98 (at 10 % of the bits,
-# 0.9998). There is a vantage-point tree of radius one per block; what meets in a shard is
-# linked if whole sketches differ in at most ``LIKE`` bits.
+# Near are texts with four fifths or more of their distinct shingles in common. Sketches
+# only find candidates, which are then compared by their shingles. Such texts differ in
+# about 15 % of their bits, too far apart for one 64-bit fingerprint and a small radius. So
+# a sketch has three fingerprints, 192 bits. In such a pair each 16-bit block differs in at
+# most one bit with probability 0.28, and at least one of twelve blocks does with 0.98 (at
+# 10 % of the bits, 0.9998). There is a vantage-point tree of radius one per block; what
+# meets in a shard is a candidate if whole sketches differ in at most ``LIKE`` bits.
 
 #: Fingerprints of a sketch, bits of a block, bits that may differ, members of a shard.
 WORDS, BITS, LIKE, WIDE = 3, 16, 40, 16_384
+#: Candidates that a row of a dense block has compared in the first round.
+FEW = 8
 
 _SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -312,15 +315,21 @@ def _remixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: bytes | None, shingle: int = 5) -> list[int]:
-    """``WORDS`` SimHash fingerprints of a text, as signed integers."""
+def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, in order; without words there are none."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return [0] * WORDS
+        return np.zeros(0, np.uint64)
     runs = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
-    h = np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), dtype=np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), dtype=np.uint64))
+
+
+def sketch(h: np.ndarray) -> list[int]:
+    """``WORDS`` SimHash fingerprints of a text's ``shingles``, as signed integers."""
+    if not len(h):
+        return [0] * WORDS
     out = []
     for _ in range(WORDS):
         mark = _majority(h)
@@ -330,16 +339,37 @@ def sketch(text: bytes | None, shingle: int = 5) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``marks``, its sketch."""
+    """The columns of ``docs`` but ``text``, and of each text ``marks``, its sketch, ``set``,
+    a digest of its distinct shingles, and ``size``, their number."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            marks = [sketch(t.as_py(), shingle) for t in b.column(len(kept)).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(marks, pa.list_(pa.int64()))], [*kept, "marks"])
+            marks, sets, sizes = [], [], []
+            for t in b.column(len(kept)).cast(pa.binary()):
+                h = shingles(t.as_py(), shingle)
+                marks.append(sketch(h))
+                sets.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+            more = [pa.array(marks, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *more], [*kept, "marks", "set", "size"])
 
-    kind = T.StructType([docs.schema[c] for c in kept] + [T.StructField("marks", T.ArrayType(T.LongType()))])
-    return docs.select(*kept, "text").mapInArrow(run, kind)
+    more = [T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("set", T.BinaryType()), T.StructField("size", T.IntegerType())]
+    return docs.select(*kept, "text").mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + more))
+
+
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``(id, shingles)`` of ``docs(id, text)``: hashes of the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1).cast(pa.binary())):
+                h = pa.array(shingles(t.as_py(), shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.ListArray.from_arrays([0, len(h)], h)], ["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def _marks(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -353,30 +383,56 @@ def _block(marks: np.ndarray, t: int) -> np.ndarray:
     return ((marks[:, t // per] >> np.uint64(BITS * (t % per))) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
 
 
-def _alike(of_m, of_v, marks_m, marks_v, members, visitors, seed, out) -> None:
-    """As ``_search``, for sketches: shards end in blocks that are compared whole."""
-    found = _cut(of_m[members], seed) if len(members) > BLOCK else None
+def _alike(of, marks, ids, size, label, members, visitors, few, seed, out, rest) -> None:
+    """As ``_search``, for candidates among sketches that have other labels and sizes that
+    allow a link. In a dense block each visitor gets the first ``few`` of its candidates in
+    an order that all blocks share; rows whose pairs wait for a later round go to ``rest``."""
+    found = _cut(of[members], seed) if len(members) > BLOCK else None
     if found is None:
         for at in range(0, len(visitors), 2_048):
             v = visitors[at : at + 2_048]
             for to in range(0, len(members), 1_024):
                 m = members[to : to + 1_024]
-                near = np.bitwise_count(of_v[v][:, None] ^ of_m[m][None, :]) <= 1
+                near = np.bitwise_count(of[v][:, None] ^ of[m][None, :]) <= 1
+                near &= label[v][:, None] != label[m][None, :]
+                near &= (5 * size[v][:, None] >= 4 * size[m][None, :]) & (5 * size[m][None, :] >= 4 * size[v][:, None])
                 i, j = np.nonzero(near)
-                apart = np.bitwise_count(marks_v[v[i]] ^ marks_m[m[j]]).sum(axis=1, dtype=np.int64)
-                _keep(out, v, m, i[apart <= LIKE], j[apart <= LIKE])
+                close = np.bitwise_count(marks[v[i]] ^ marks[m[j]]).sum(axis=1, dtype=np.int64) <= LIKE
+                i, j = i[close], j[close]
+                if len(i) > 8 * (len(v) + len(m)):
+                    order = np.lexsort((_remixed(ids[m[j]].view(np.uint64)), i))
+                    i, j = i[order], j[order]
+                    now = np.arange(len(i)) - np.searchsorted(i, i) < few
+                    rest += [v[np.unique(i[~now])], m[np.unique(j[~now])]]
+                    i, j = i[now], j[now]
+                if len(i):
+                    out.append((v[i], m[j]))
         return
     vantage, cut = found
-    d_m = np.bitwise_count(of_m[members] ^ vantage)
-    d_v = np.bitwise_count(of_v[visitors] ^ vantage).astype(np.int64)
+    d_m = np.bitwise_count(of[members] ^ vantage)
+    d_v = np.bitwise_count(of[visitors] ^ vantage).astype(np.int64)
     near = d_m <= cut
-    _alike(of_m, of_v, marks_m, marks_v, members[near], visitors[d_v <= cut + 1], seed + 1, out)
-    _alike(of_m, of_v, marks_m, marks_v, members[~near], visitors[d_v > cut - 1], seed + 2, out)
+    _alike(of, marks, ids, size, label, members[near], visitors[d_v <= cut + 1], few, seed + 1, out, rest)
+    _alike(of, marks, ids, size, label, members[~near], visitors[d_v > cut - 1], few, seed + 2, out, rest)
+
 
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose ``sets(id, shingles)`` have four fifths or more in common."""
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
-def link_similar(known: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between distinct sketches ``known(id, marks)`` that connect what the
-    pairs found connect. A shard gives a spanning forest, not its pairs."""
+
+def link_similar(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges ``(a, b)`` between ``known(id, marks, size)`` that connect what the candidates of
+    four fifths or more common shingles connect. ``sets_of`` gives ``(id, shingles)`` of a
+    table of ids.
+
+    Every edge is compared by its shingles. A dense block compares few candidates of a row,
+    the same ones for all rows where it can; what these link needs no more comparing. Pairs
+    still apart come back in a further round with four times as many, until none waits.
+    """
     n = known.count()
     share = min(1.0, SAMPLE / 4 / max(n, 1))
     sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("marks")
@@ -384,6 +440,7 @@ def link_similar(known: DataFrame) -> DataFrame:
     trees_n = WORDS * 64 // BITS
     leaf = max(8, int(WIDE * len(values) / max(n, 1)))
     trees = [build_tree(_block(values, t), leaf) if len(values) else [] for t in range(trees_n)]
+    more = ["marks", "size", "label"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,46 +449,69 @@ def link_similar(known: DataFrame) -> DataFrame:
                 rows, shard, home = _route(_block(marks, t), trees[t])
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), t, np.int32)), pa.array(shard), b.column(0).take(take), b.column(1).take(take), pa.array(home)],
-                    ["tree", "shard", "id", "marks", "home"],
+                    [pa.array(np.full(len(rows), t, np.int32)), pa.array(shard), *[c.take(take) for c in b.columns], pa.array(home)],
+                    ["tree", "shard", "id", *more, "home"],
                 )
 
-    routed = known.select("id", "marks").mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, home boolean")
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        t, member = key[0].as_py(), rows.column("member").to_numpy(zero_copy_only=False)
-        marks, ids = _marks(rows.column("marks")), rows.column("id").to_numpy()
-        m, v, out = marks[member], marks[~member], []
-        _alike(_block(m, t), _block(v, t), m, v, np.arange(len(m)), np.arange(len(v)), 0, out)
-        a = np.concatenate([ids[~member][x] for x, _ in out] or [np.zeros(0, np.int64)])
-        b = np.concatenate([ids[member][y] for _, y in out] or [np.zeros(0, np.int64)])
-        points, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = _forest(code[: len(a)], code[len(a) :], len(points))
-        edge = root != np.arange(len(points))
-        return pa.table({"a": points[edge], "b": points[root[edge]]})
-
-    dealt = _cells(routed, "id", "marks")
-    return dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "a bigint, b bigint").distinct()
+    def candidates(labelled: DataFrame, few: int) -> DataFrame:
+        """``(a, b)`` to compare, and ``(a, null)`` for rows with pairs left over."""
+
+        def compare(key: tuple, rows: pa.Table) -> pa.Table:
+            member, ids = rows.column("member").to_numpy(zero_copy_only=False), rows.column("id").to_numpy()
+            marks, size, label = _marks(rows.column("marks")), rows.column("size").to_numpy().astype(np.int64), rows.column("label").to_numpy()
+            out: list = []
+            rest: list = []
+            _alike(_block(marks, key[0].as_py()), marks, ids, size, label, np.flatnonzero(member), np.flatnonzero(~member), few, 0, out, rest)
+            a = ids[np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)])]
+            b = ids[np.concatenate([y for _, y in out] or [np.zeros(0, np.int64)])]
+            pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            left = np.unique(ids[np.concatenate(rest or [np.zeros(0, np.int64)])])
+            return pa.concat_tables([pairs, pa.table({"a": left, "b": pa.nulls(len(left), pa.int64())})])
+
+        routed = labelled.select("id", *more).mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, size int, label bigint, home boolean")
+        dealt = _cells(routed, "id", *more)
+        return dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+    few, now, edges, sets = FEW, known.withColumn("label", F.col("id")), None, None
+    while True:
+        found = durable(candidates(now, few))
+        if sets is None:
+            ids = found.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+            sets = durable(sets_of(durable(ids)))
+        linked = durable(verified(found.filter("b is not null"), sets))
+        edges = linked if edges is None else durable(edges.unionByName(linked))
+        left = durable(found.filter("b is null").select(F.col("a").alias("id")))
+        if left.isEmpty():
+            return edges
+        groups = components(edges)
+        waiting = known.join(left, "id", "left_semi").join(groups, F.col("id") == groups["node"], "left")
+        now, few = durable(waiting.select("id", "marks", "size", F.coalesce("root", "id").alias("label"))), 4 * few
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id
     (null ids last, then by a hash of the text). Of repeated equal rows one stays.
 
-    Near are texts with about four fifths or more of their ``shingle``-word shingles in
-    common, by sketch. Texts without words are one group. All columns stay as they are.
+    Near are texts with four fifths or more of their distinct ``shingle``-word shingles in
+    common. Texts without words are one group. All columns stay as they are.
     """
     of = docs.withColumn("_hash", F.xxhash64("text"))
     marked = durable(sketches(of.select("doc_id", "_hash", "text"), shingle))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
-    known = durable(marked.groupBy("marks").agg(least.alias("first")).withColumn("id", F.monotonically_increasing_id()))
-    groups = components(link_similar(known.select("id", "marks")))
-    rooted = known.join(groups, known["id"] == groups["node"], "left").select("marks", "first", F.coalesce("root", "id").alias("root"))
-    low = rooted.select("marks", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("marks", "first")
-    rows = marked.groupBy("doc_id", "_hash", "marks").agg(F.count(F.lit(1)).alias("rows")).join(low, "marks")
+    grouped = marked.groupBy("set").agg(least.alias("first"), F.first("marks").alias("marks"), F.first("size").alias("size"))
+    known = durable(grouped.withColumn("id", F.monotonically_increasing_id()))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = known.join(ids, "id", "left_semi").select("id", F.col("first.doc_id").alias("_d"), F.col("first._hash").alias("_h"))
+        return shingle_sets(of.join(durable(wanted), same).select("id", "text"), shingle).dropDuplicates(["id"])
+
+    groups = components(link_similar(known.select("id", "marks", "size"), sets_of))
+    rooted = known.join(groups, known["id"] == groups["node"], "left").select("set", "first", F.coalesce("root", "id").alias("root"))
+    low = rooted.select("set", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("set", "first")
+    rows = marked.groupBy("doc_id", "_hash", "set").agg(F.count(F.lit(1)).alias("rows")).join(low, "set")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_hash") == F.col("first._hash"))
     verdict = durable(rows.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"), stays.alias("stays"), "rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
     kept = of.join(durable(verdict.filter("not stays")).hint("merge"), same, "left_anti")
     equal = durable(verdict.filter("stays and rows > 1"))
     if not equal.isEmpty():

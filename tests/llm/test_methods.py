@@ -308,3 +308,52 @@ def test_keep_first_drops_edited_copies(spark):
             copies.add(10 * k + c)
     kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {10 * k for k in range(60)} <= kept and len(kept & copies) <= 0.05 * len(copies)
+
+
+def five_word_runs(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def kept_by_brute_force(rows):
+    sets = {i: five_word_runs(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return set(groups(near, sets).values())
+
+
+def test_keep_first_compares_shingles_on_both_sides_of_the_bound(spark):
+    """Other tails and cut ones: similarities of 0.94, and of 0.79 and less."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):
+        words = [f"v{rng.randrange(5000)}" for _ in range(304)]
+        rows.append((10 * k, " ".join(words)))
+        for c, same in ((1, 264), (2, 215), (3, 290)):  # of 300 runs: 0.79, 0.56, 0.94
+            new = [f"u{rng.randrange(5000)}" for _ in range(300 - same)]
+            rows.append((10 * k + c, " ".join(words[: same + 4] + new)))
+        rows.append((10 * k + 4, " ".join(words[:236])))  # 232 of 300
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == kept_by_brute_force(rows) == {10 * k + c for k in range(40) for c in (0, 1, 2, 4)}
+
+
+def test_keep_first_counts_a_repeated_shingle_once(spark):
+    filler = "- " * 400
+    rows = [(k, filler + " ".join(f"d{k}w{i}" for i in range(150))) for k in range(20)]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(20))
+
+
+def test_keep_first_in_dense_blocks(spark, monkeypatch):
+    """Edited copies of few texts, many pairs near the bound: all rounds together compare all."""
+    monkeypatch.setattr(simhash, "FEW", 1)
+    monkeypatch.setattr(simhash, "LIKE", 192)  # every pair that meets is a candidate
+    rng = random.Random(7)
+    rows, bases = [], [[f"v{rng.randrange(5000)}" for _ in range(120)] for _ in range(3)]
+    for i in range(360):
+        words = list(rng.choice(bases))
+        for at in rng.sample(range(120), rng.randint(0, 8)):
+            words[at] = f"u{rng.randrange(5000)}"
+        rows.append((i, " ".join(words)))
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = kept_by_brute_force(rows)
+    assert want <= kept and len(kept - want) <= 0.02 * len(rows)
