@@ -89,8 +89,8 @@ DERIVED = {
         SELECT DISTINCT concat('p', l_partkey) AS source_path, concat('p', (l_partkey * 7 + l_suppkey) % 200) AS target_path,
           'wikilink' AS link_type FROM {lineitem}""",
     "vault_links": """
-        SELECT DISTINCT concat('v', l_suppkey % 5) AS vault, concat('p', l_partkey % 40) AS source_path,
-          concat('p', (l_partkey * 7 + l_suppkey) % 40) AS target_path, 'wikilink' AS link_type FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 5 = 0""",
+        SELECT DISTINCT concat('v', l_orderkey % 5) AS vault, concat('p', l_partkey) AS source_path,
+          concat('p', l_suppkey) AS target_path, 'wikilink' AS link_type FROM {lineitem}""",
     "results": """
         SELECT event_id AS question_id, event_type AS question_type, substr('ABCD', CAST(event_id % 4 + 1 AS INT), 1) AS config,
           value > 50 AS correct, value AS latency_ms,
@@ -104,8 +104,8 @@ DERIVED = {
         SELECT concat('v', event_id % 7) AS vault, concat(event_type, '/', user_id % 20) AS fact_key,
           concat('x', event_id % 3) AS fact_value FROM {events}""",
     "vault_paths": """
-        SELECT concat('v', doc_id % 5) AS vault, concat('doc/', doc_id % 50, '.md') AS path, max(CAST(doc_id AS INT)) AS hours,
-          TIMESTAMP '2023-10-01 00:00:00' + INTERVAL '1' HOUR * max(CAST(doc_id AS INT)) AS mtime FROM {documents} GROUP BY 1, 2""",
+        SELECT concat('v', doc_id % 5) AS vault, concat('doc/', CAST((doc_id - doc_id % 5) / 5 AS BIGINT), '.md') AS path, CAST(doc_id AS INT) AS hours,
+          TIMESTAMP '2023-10-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS mtime FROM {documents}""",
     "vectors": """
         SELECT vec_id, embedding, n FROM {embeddings} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) AS size""",
     "chunks": """

@@ -22,6 +22,7 @@ from loreweave.operators import retrieval as rt
 from loreweave.operators import review as rv
 from loreweave.operators import sessions as ss
 from loreweave.operators import vector as vx
+from loreweave.plans.tables import Tables
 
 NOW = "2024-02-01 00:00:00"
 T0 = dt.datetime(2024, 1, 1)
@@ -255,3 +256,11 @@ def test_contradictions_show_every_value(spark):
     facts = spark.createDataFrame([("A", "k", "1"), ("B", "k", "2"), ("C", "k", "3"), ("A", "s", "1"), ("B", "s", "1")], "vault string, fact_key string, fact_value string")
     got = sorted((r["value"], r["vaults"], r["n_values"]) for r in rp.cross_vault_contradictions(facts).collect())
     assert got == [("1", 1, 3), ("2", 1, 3), ("3", 1, 3)]
+
+
+def test_vault_tables_hold_every_row_and_share_paths(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.vault_links.count() == t.lineitem.select(F.col("l_orderkey") % 5, "l_partkey", "l_suppkey").distinct().count()
+    assert t.vault_paths.select("vault", "path").distinct().count() == t.documents.count()
+    for rows, path in ((t.vault_links, "source_path"), (t.vault_links, "target_path"), (t.vault_paths, "path")):
+        assert rows.groupBy(path).agg(F.countDistinct("vault").alias("n")).agg(F.max("n")).first()[0] == 5
