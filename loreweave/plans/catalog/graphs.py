@@ -213,7 +213,7 @@ def _(t):
 
 
 INSTANTS = "(SELECT DISTINCT date_trunc('month', o_orderdate) AS at FROM orders)"
-AS_OF_EDGES = f"SELECT a.at, e.id FROM edges_in e JOIN {INSTANTS} a ON valid_from <= a.at AND (valid_until IS NULL OR a.at < valid_until) WHERE e.valid_until IS NOT NULL"
+AS_OF_EDGES = f"SELECT a.at, e.id FROM edges_in e JOIN {INSTANTS} a ON valid_from <= a.at AND (valid_until IS NULL OR a.at < valid_until)"
 
 
 def months(t):
@@ -222,12 +222,12 @@ def months(t):
 
 @query("edges_as_of_join", "F9", AS_OF_EDGES)
 def _(t):
-    return gr.as_of_join(t.edges_in.filter("valid_until is not null"), months(t)).select("at", "id")
+    return gr.as_of_join(t.edges_in, months(t)).select("at", "id")
 
 
 @query("edges_as_of_join_months", "F9", AS_OF_EDGES)
 def _(t):
-    return gr.as_of_join(t.edges_in.filter("valid_until is not null"), months(t), max_instants=10).select("at", "id")
+    return gr.as_of_join(t.edges_in, months(t), max_instants=10).select("at", "id")
 
 
 @query("facts_as_of", "F10", """SELECT a.at, vault, fact_key, arg_max(event_id, (created_at, event_id)) AS event_id FROM facts_in f

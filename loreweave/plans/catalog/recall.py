@@ -149,7 +149,7 @@ def zeroed(t):
 @query("embed_documents", "D8,O1")
 def _(t):
     out = models.embed(t.documents.select("doc_id", "text"), models.hashing_embedder())
-    return out.select("doc_id", F.size("embedding").alias("dim"))
+    return out.select("doc_id", "embedding")
 
 
 @query("find_zero_vectors", "D9", "SELECT event_id FROM facts WHERE event_id % 9 = 0")

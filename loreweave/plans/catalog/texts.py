@@ -72,10 +72,10 @@ def _(t):
 
 @query("split_sentences", "C4", """
     SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '\\.[ \\n]', '.' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n,
-      string_split(regexp_replace(text, '\\.[ \\n]', '.' || chr(1), 'g'), chr(1))[1] AS first FROM documents""")
+      array_to_string(string_split(regexp_replace(text, '\\.[ \\n]', '.' || chr(1), 'g'), chr(1)), chr(1)) AS sentences FROM documents""")
 def _(t):
     s = text.sentences(F.col("text"))
-    return t.documents.select("doc_id", F.size(F.filter(s, lambda x: x != "")).cast("long").alias("n"), s[0].alias("first"))
+    return t.documents.select("doc_id", F.size(F.filter(s, lambda x: x != "")).cast("long").alias("n"), F.array_join(s, "\x01").alias("sentences"))
 
 
 @query("est_tokens", "C6", f"SELECT doc_id, {EST.format('text')} AS tokens FROM documents")
@@ -150,15 +150,14 @@ def _(t):
 
 
 @query("parse_graph_json", "C14", """
-    SELECT o_orderkey, 'c' || o_custkey AS source, 'n' || o_orderkey % 50 AS target, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 2 END AS entities
-    FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0)
-    UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 0""")
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'c' || o_custkey || '|person;n' || o_orderkey % 50 || '|org' END AS entities,
+      CASE WHEN o_orderkey % 7 <> 0 THEN 'c' || o_custkey || '|n' || o_orderkey % 50 || '|uses|f' END AS relations FROM orders""")
 def _(t):
     answer = F.expr("""CASE WHEN o_orderkey % 7 = 0 THEN '{"entities":[' ELSE concat('```\n{"entities":[{"name":"c', o_custkey, '","kind":"person"},{"name":"n', o_orderkey % 50,
         '","kind":"org"}],"relations":[{"source":"c', o_custkey, '","target":"n', o_orderkey % 50, '","type":"uses","fact":"f"}]}\n```') END""")
     out = ps.graph_json(t.orders.select("o_orderkey", answer.alias("answer")))
-    return out.select("o_orderkey", F.col("relations")[0]["source"].alias("source"), F.col("relations")[0]["target"].alias("target"),
-                      F.when(F.col("entities").isNotNull(), F.size("entities")).alias("entities"))
+    listed = lambda name, *keys: F.array_join(F.transform(name, lambda x: F.concat_ws("|", *[x[k] for k in keys])), ";").alias(name)
+    return out.select("o_orderkey", listed("entities", "name", "kind"), listed("relations", "source", "target", "type", "fact"))
 
 
 @query("parse_citations", "C15", """

@@ -1,5 +1,8 @@
 """Skew-safe helpers and block search against brute force, with one hot key."""
 
+import datetime as dt
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -10,6 +13,7 @@ from loreweave.operators import graph as gr
 from loreweave.operators import links as lk
 from loreweave.operators import procedures as pr
 from loreweave.operators import vector as vx
+from loreweave.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +128,18 @@ def test_as_of_join_both_ways(spark):
     )
     instants = spark.range(30).select(F.expr("timestamp_ntz '2023-02-01 00:00:00' + make_dt_interval(id * 12)").alias("at"))
     same(gr.as_of_join(rows, instants).select("id", "at"), gr.as_of_join(rows, instants, max_instants=1).select("id", "at"))
+
+
+def test_as_of_queries_join_open_ended_edges(spark):
+    """Both queries over a fixture, against brute force; no end is the latest end."""
+    at = lambda d: dt.datetime(2023, 1, 1) + dt.timedelta(days=d)
+    edges = [(f"e{i}", at(9 * i), None if i % 3 else at(9 * i + 70)) for i in range(40)]
+    orders = [(at(12 * i),) for i in range(30)]
+    tables = SimpleNamespace(
+        edges_in=spark.createDataFrame(edges, "id string, valid_from timestamp_ntz, valid_until timestamp_ntz"),
+        orders=spark.createDataFrame(orders, "o_orderdate timestamp_ntz"),
+    )
+    months = {d.replace(day=1) for (d,) in orders}
+    want = sorted((m, i) for i, a, b in edges for m in months if a <= m and (b is None or m < b))
+    for name in ("edges_as_of_join", "edges_as_of_join_months"):
+        assert sorted(map(tuple, registry.load()[name].build(tables).collect())) == want
