@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreweave.llm import ann, decontam, linededup, lm, mixing, quality, secrets, simhash, toxicity, warc
+from loreweave.llm import ann, decontam, interaction, linededup, lm, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_bundles": warc.op8,
     "op9_lm_scoring": lm.op9,
     "op10_secret_scan": secrets.op10,
+    "op13_filter_interactions": interaction.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
     "op8_warc_bundles": warc.ORACLE,
+    "op13_filter_interactions": interaction.ORACLE,
 }
 
 
