@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loreweave.llm import alignment, ann, decontam, interaction, linededup, lm, mixing, quality, secrets, simhash, toxicity, warc
+from loreweave.llm import alignment, ann, decontam, interaction, linededup, lm, mixing, quality, secrets, simhash, sitestyle, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": lm.op9,
     "op10_secret_scan": secrets.op10,
     "op11_tokenizer_alignment": alignment.op11,
+    "op12_html_extraction": sitestyle.op12,
     "op13_filter_interactions": interaction.op13,
     "pipeline": corpus_pipeline.run,
 }
