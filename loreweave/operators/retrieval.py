@@ -212,21 +212,23 @@ def context_sources(results: DataFrame) -> DataFrame:
 
 def full_context(queries: DataFrame, chunks: DataFrame, key: str, budget: int = FULL_CONTEXT_TOKENS, hits: int = 50) -> DataFrame:
     """Whole files of the best ``hits`` chunks, in rank order, until the text before a
-    file passes ``budget`` estimated tokens. A file's chunks come by similarity."""
-    best = fetch_ranked(vector.knn_batch(queries, chunks, key, hits), chunks.drop("embedding", "text"), key, "l2")
-    files = best.groupBy("query_id", "source_file").agg(F.min("rank").alias("file_rank"))
-    members = chunks.join(files.select("source_file").distinct(), "source_file", "left_semi")
+    file passes ``budget`` estimated tokens. A file's chunks come by similarity. Where
+    chunks name vaults, a path of two vaults is two files."""
+    place = ["vault", "source_file"] if "vault" in chunks.columns else ["source_file"]
+    best = vector.knn_batch(queries, chunks, key, hits).select("query_id", "rank", key).join(chunks.select(key, *place), key)
+    files = best.groupBy("query_id", *place).agg(F.min("rank").alias("file_rank"))
+    members = chunks.join(files.select(*place).distinct(), place, "left_semi")
     asked = files.join(queries.select("query_id", F.col("embedding").alias("_asked")), "query_id")
     near = -vector.cosine(F.col("_asked"), F.col("embedding"))
-    blocks = asked.join(members, "source_file").select("query_id", "source_file", "file_rank", F.struct(near, key).alias("place"), "chunk_index", "text").withColumn(
+    blocks = asked.join(members, place).select("query_id", *place, "file_rank", F.struct(near, key).alias("place"), "chunk_index", "text").withColumn(
         "_block",
         F.concat(F.lit("[Source: "), "source_file", F.lit(" | Chunk "), "chunk_index", F.lit("]\n"), "text", F.lit("\n\n")),
     )
-    sizes = blocks.groupBy("query_id", "source_file", "file_rank").agg(F.sum(text.word_count(F.col("_block"))).alias("_w"))
+    sizes = blocks.groupBy("query_id", *place, "file_rank").agg(F.sum(text.word_count(F.col("_block"))).alias("_w"))
     before = Window.partitionBy("query_id").orderBy("file_rank").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum("_w").over(before), F.lit(0))
     fits = sizes.withColumn("_used", (used * F.lit(1.3)).cast("long")).filter(F.col("_used") <= budget)
-    kept = blocks.join(fits.select("query_id", "source_file"), ["query_id", "source_file"])
+    kept = blocks.join(fits.select("query_id", *place), ["query_id", *place])
     return _joined(kept, ["file_rank", "place"], F.col("_block"), "context")
 
 

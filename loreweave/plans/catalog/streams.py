@@ -11,13 +11,13 @@ from loreweave.streaming import jobs, state
 
 
 def event_stream(t):
-    return jobs.file_stream(t.spark, t.sf_dir, t.events.schema, "events.parquet")
+    return jobs.table_stream(t.spark, t.sf_dir, "events", t.events.schema)
 
 
 def derived_stream(t, name):
     """A derived table whose only input is one base table, as a stream."""
     base = {"log_entries": "events", "turns": "conversations", "facts_in": "events"}[name]
-    source = jobs.file_stream(t.spark, t.sf_dir, getattr(t, base).schema, f"{base}.parquet")
+    source = jobs.table_stream(t.spark, t.sf_dir, base, getattr(t, base).schema)
     return t.spark.sql(DERIVED[name], **{base: source})
 
 
@@ -98,4 +98,4 @@ def _(t):
     incoming = with_lists(derived_stream(t, "facts_in"))
     batches = jobs.run_batches(incoming, jobs.upsert_facts_batch(table, AS_OF, ["created_at", "event_id"]), f"{base}/checkpoint")
     batches.awaitTermination()
-    return table.read(0).select("vault", "fact_key", "fact_value", "status", "created_at")
+    return table.read(table.last()).select("vault", "fact_key", "fact_value", "status", "created_at")

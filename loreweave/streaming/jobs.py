@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loreweave.functions import text
 from loreweave.operators import chunking, facts, lifecycle
@@ -27,6 +27,12 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parque
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of part files. The braces
+    make the path a pattern, which the file source lists either way."""
+    return file_stream(spark, f"{sf_dir}/{name}.{{parquet}}", schema, files_per_trigger=files_per_trigger)
+
+
 def with_event_time(stream: DataFrame, at: str, delay: str = WATERMARK) -> DataFrame:
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
 
@@ -81,6 +87,13 @@ class VersionedTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self._dir(n) + "/_SUCCESS")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def last(self) -> int:
+        """Number of the newest snapshot, -1 without any."""
+        n = -1
+        while self.exists(n + 1):
+            n += 1
+        return n
+
     def read(self, n: int) -> DataFrame:
         if n < 0 or not self.exists(n):
             return self.spark.createDataFrame([], self.schema)
@@ -113,9 +126,10 @@ def index_files_batch(table: VersionedTable, as_of, max_tokens: int = 2000) -> C
 
 
 def stream_vault(spark: SparkSession, path: str, vault: str) -> DataFrame:
-    """New and rewritten files of a vault folder as a stream of whole documents."""
+    """New and rewritten files of a vault folder as a stream of whole documents. Paths are
+    decoded, so a blank in a name is a blank, as in ``read_vault``."""
     raw = spark.readStream.schema("value string").option("recursiveFileLookup", "true").text(path, wholetext=True)
-    relative = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1)
+    relative = F.url_decode(F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1), r"\+", "%2B"))
     docs = raw.select(F.lit(vault).alias("vault"), relative.alias("path"), F.col("value").alias("text"))
     return docs.filter(text.is_indexable(F.col("path")))
 
@@ -126,18 +140,24 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read back all it put out.
 
-    State and output go to the shared folder. In update mode a key may come out more
-    than once; ``batch`` tells which of its rows is the latest.
+    State and output go to the shared folder. Without a batch the result is empty, with the
+    stream's columns. In update mode a key may come out more than once; ``batch`` tells
+    which of its rows is the latest.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    spark.createDataFrame([], schema).write.parquet(f"{base}/out/part=-1")
 
     def store(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/part={n}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("part")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(schema).parquet(f"{base}/out").drop("part")

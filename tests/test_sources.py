@@ -5,12 +5,15 @@ import json
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loreweave import models, schemas
 from loreweave.operators import chunking as ck
 from loreweave.operators import evaluation as ev
+from loreweave.operators import retrieval
+from loreweave.plans import registry
 from loreweave.sources import datasets as ds
 from loreweave.sources import events as se
 from loreweave.sources import vault as vt
@@ -176,3 +179,49 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     before = sorted(map(tuple, table.read(0).drop("links_to").collect()))
     step(batch, 0)
     assert sorted(map(tuple, table.read(0).drop("links_to").collect())) == before and len(before) == 2
+
+
+STREAMS = [n for n in registry.queries() if n.endswith("_stream")]
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The given tables as folders of part files."""
+    base = str(tmp_path_factory.mktemp("folders"))
+    for name in ("events", "conversations", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{base}/{name}.parquet")
+    return base
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_read_folders_as_files(spark, folders, name):
+    run = registry.queries()[name]
+    one, many = (sorted(map(str, run(spark, d).collect())) for d in ("/root/testdata/sf0.001", folders))
+    assert one and one == many
+
+
+def test_table_stream_takes_part_files_one_by_one(spark, folders):
+    schema = spark.read.parquet(f"{folders}/conversations.parquet").schema
+    out = jobs.drain(jobs.table_stream(spark, folders, "conversations", schema, files_per_trigger=1))
+    assert out.select("batch").distinct().count() == 3
+    assert sorted(map(str, out.drop("batch").collect())) == sorted(map(str, spark.read.parquet(f"{folders}/conversations.parquet").collect()))
+
+
+def test_drain_without_a_batch_is_empty(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    out = jobs.drain(jobs.file_stream(spark, str(tmp_path / "none"), StructType.fromDDL("id long, at timestamp_ntz")))
+    assert out.columns == ["id", "at", "batch"] and out.count() == 0
+
+
+def test_stream_vault_decodes_names(spark, tmp_path):
+    root = str(tmp_path / "vault")
+    put(root, {"a b.md": "x", "c+d%.md": "y"})
+    assert {r["path"] for r in jobs.drain(jobs.stream_vault(spark, root, "v")).collect()} == {"a b.md", "c+d%.md"}
+
+
+def test_full_context_keeps_vaults_apart(spark):
+    rows = [(1, "alpha", "a.md", 0, "mine", [1.0, 0.0]), (2, "beta", "a.md", 0, "theirs", [0.0, 1.0]), (3, "alpha", "a.md", 1, "mine too", [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "id long, vault string, source_file string, chunk_index int, text string, embedding array<float>")
+    asks = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
+    (row,) = retrieval.full_context(asks, chunks, "id", hits=1).collect()
+    assert row["context"] == "[Source: a.md | Chunk 0]\nmine\n\n[Source: a.md | Chunk 1]\nmine too\n\n"
