@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -302,8 +302,8 @@ def _groups(marked: DataFrame, member: Column) -> DataFrame:
 
 #: Fingerprints of a sketch, bits of a block, bits that may differ, members of a shard.
 WORDS, BITS, LIKE, WIDE = 3, 16, 40, 16_384
-#: Candidates that a row of a dense block has compared in the first round.
-FEW = 8
+#: Candidates that a row has compared in the first round.
+FEW = 1
 
 _SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -383,37 +383,42 @@ def _block(marks: np.ndarray, t: int) -> np.ndarray:
     return ((marks[:, t // per] >> np.uint64(BITS * (t % per))) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
 
 
-def _alike(of, marks, ids, size, label, members, visitors, few, seed, out, rest) -> None:
+def _alike(of, marks, size, label, tree, members, visitors, few, seed, out) -> None:
     """As ``_search``, for candidates among sketches that have other labels and sizes that
-    allow a link. In a dense block each visitor gets the first ``few`` of its candidates in
-    an order that all blocks share; rows whose pairs wait for a later round go to ``rest``."""
+    allow a link. A pair belongs to the first tree in whose block it differs in at most one
+    bit. Members come in an order that all blocks share; each visitor gets the first ``few``
+    of its candidates and one more, which tells that it has others."""
     found = _cut(of[members], seed) if len(members) > BLOCK else None
     if found is None:
         for at in range(0, len(visitors), 2_048):
-            v = visitors[at : at + 2_048]
+            v, got = visitors[at : at + 2_048], []
             for to in range(0, len(members), 1_024):
                 m = members[to : to + 1_024]
                 near = np.bitwise_count(of[v][:, None] ^ of[m][None, :]) <= 1
                 near &= label[v][:, None] != label[m][None, :]
                 near &= (5 * size[v][:, None] >= 4 * size[m][None, :]) & (5 * size[m][None, :] >= 4 * size[v][:, None])
                 i, j = np.nonzero(near)
-                close = np.bitwise_count(marks[v[i]] ^ marks[m[j]]).sum(axis=1, dtype=np.int64) <= LIKE
-                i, j = i[close], j[close]
-                if len(i) > 8 * (len(v) + len(m)):
-                    order = np.lexsort((_remixed(ids[m[j]].view(np.uint64)), i))
-                    i, j = i[order], j[order]
-                    now = np.arange(len(i)) - np.searchsorted(i, i) < few
-                    rest += [v[np.unique(i[~now])], m[np.unique(j[~now])]]
-                    i, j = i[now], j[now]
-                if len(i):
-                    out.append((v[i], m[j]))
+                apart = marks[v[i]] ^ marks[m[j]]
+                close = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= LIKE
+                for t in range(tree):
+                    close &= np.bitwise_count(_block(apart, t)) > 1
+                got.append(_first(v[i[close]], m[j[close]], few + 1))
+            out.append(_first(*map(np.concatenate, zip(*got)), few + 1) if got else (v[:0], v[:0]))
         return
     vantage, cut = found
     d_m = np.bitwise_count(of[members] ^ vantage)
     d_v = np.bitwise_count(of[visitors] ^ vantage).astype(np.int64)
     near = d_m <= cut
-    _alike(of, marks, ids, size, label, members[near], visitors[d_v <= cut + 1], few, seed + 1, out, rest)
-    _alike(of, marks, ids, size, label, members[~near], visitors[d_v > cut - 1], few, seed + 2, out, rest)
+    _alike(of, marks, size, label, tree, members[near], visitors[d_v <= cut + 1], few, seed + 1, out)
+    _alike(of, marks, size, label, tree, members[~near], visitors[d_v > cut - 1], few, seed + 2, out)
+
+
+def _first(visitor: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` pairs of each visitor, in the order given."""
+    order = np.argsort(visitor, kind="stable")
+    visitor, member = visitor[order], member[order]
+    kept = np.arange(len(visitor)) - np.searchsorted(visitor, visitor) < n
+    return visitor[kept], member[kept]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -429,9 +434,11 @@ def link_similar(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     four fifths or more common shingles connect. ``sets_of`` gives ``(id, shingles)`` of a
     table of ids.
 
-    Every edge is compared by its shingles. A dense block compares few candidates of a row,
-    the same ones for all rows where it can; what these link needs no more comparing. Pairs
-    still apart come back in a further round with four times as many, until none waits.
+    Every edge is compared by its shingles. A round compares the first ``FEW`` candidates of
+    each row over all trees, in an order that all rows share, so a group of copies meets at
+    one of them; what these link needs no more comparing. A row with more candidates comes
+    back in a further round, with another order and four times as many, until none waits.
+    A pair is left over only if both its rows are, so no pair is lost.
     """
     n = known.count()
     share = min(1.0, SAMPLE / 4 / max(n, 1))
@@ -459,18 +466,22 @@ def link_similar(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
         def compare(key: tuple, rows: pa.Table) -> pa.Table:
             member, ids = rows.column("member").to_numpy(zero_copy_only=False), rows.column("id").to_numpy()
             marks, size, label = _marks(rows.column("marks")), rows.column("size").to_numpy().astype(np.int64), rows.column("label").to_numpy()
+            tree = key[0].as_py()
+            place = _remixed(ids.view(np.uint64) + np.uint64(few)).view(np.int64)
+            members = np.flatnonzero(member)
             out: list = []
-            rest: list = []
-            _alike(_block(marks, key[0].as_py()), marks, ids, size, label, np.flatnonzero(member), np.flatnonzero(~member), few, 0, out, rest)
-            a = ids[np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)])]
-            b = ids[np.concatenate([y for _, y in out] or [np.zeros(0, np.int64)])]
-            pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-            left = np.unique(ids[np.concatenate(rest or [np.zeros(0, np.int64)])])
-            return pa.concat_tables([pairs, pa.table({"a": left, "b": pa.nulls(len(left), pa.int64())})])
+            _alike(_block(marks, tree), marks, size, label, tree, members[np.argsort(place[members])], np.flatnonzero(~member), few, 0, out)
+            a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            order = np.argsort(place[b])
+            a, b = _first(a[order], b[order], few + 1)
+            return pa.table({"of": ids[a], "with": ids[b], "place": place[b]})
 
         routed = labelled.select("id", *more).mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, size int, label bigint, home boolean")
         dealt = _cells(routed, "id", *more)
-        return dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "a bigint, b bigint").distinct()
+        met = dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "of bigint, with bigint, place bigint")
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy("place"))).filter(F.col("rank") <= few + 1)
+        now = F.col("rank") <= few
+        return ranked.select(F.when(now, F.least("of", "with")).otherwise(F.col("of")).alias("a"), F.when(now, F.greatest("of", "with")).alias("b")).distinct()
 
     few, now, edges, sets = FEW, known.withColumn("label", F.col("id")), None, None
     while True:

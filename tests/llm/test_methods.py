@@ -345,7 +345,6 @@ def test_keep_first_counts_a_repeated_shingle_once(spark):
 
 def test_keep_first_in_dense_blocks(spark, monkeypatch):
     """Edited copies of few texts, many pairs near the bound: all rounds together compare all."""
-    monkeypatch.setattr(simhash, "FEW", 1)
     monkeypatch.setattr(simhash, "LIKE", 192)  # every pair that meets is a candidate
     rng = random.Random(7)
     rows, bases = [], [[f"v{rng.randrange(5000)}" for _ in range(120)] for _ in range(3)]
@@ -357,3 +356,21 @@ def test_keep_first_in_dense_blocks(spark, monkeypatch):
     kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     want = kept_by_brute_force(rows)
     assert want <= kept and len(kept - want) <= 0.02 * len(rows)
+
+
+@pytest.mark.parametrize("n", [500, 4000])
+def test_candidates_of_a_group_do_not_grow_with_it(spark, monkeypatch, n):
+    """One group of near copies: the first round compares a bounded number of pairs a text."""
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(400), 3):
+            words[at] = f"u{i}"
+        rows.append((i, " ".join(words)))
+    compared = []
+    verified = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    kept = [r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert kept == [0] and sum(compared) <= 2 * n
