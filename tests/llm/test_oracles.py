@@ -83,14 +83,14 @@ def test_empty_tables_give_empty_results(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("pipeline", "op4_nearest_neighbours", "op8_warc_bundles")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("pipeline", "op4_nearest_neighbours", "op8_warc_bundles", "op12_html_extraction", "op13_filter_interactions")])
 def test_odd_documents_give_a_row_each(spark, odd, name):
     rows = QUERIES[name](spark, odd).collect()
     ids = sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x))
     assert ids == [1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, 10, None, None]
 
 
-@pytest.mark.parametrize("name", ["op3_mix_sources", "op8_warc_bundles"])
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op8_warc_bundles", "op13_filter_interactions"])
 def test_odd_rows_match_oracle(spark, odd, name):
     df = QUERIES[name](spark, odd)
     assert compare(df.columns, [tuple(r) for r in df.collect()], *answers(odd, ORACLES[name])) is None
@@ -125,3 +125,8 @@ def test_odd_pipeline(spark, odd):
         docs = stage(spark, docs, odd)
         assert docs.columns[: len(columns)] == columns, name
         assert docs.filter("score <> 'clash' or size <> 'clash' or n_lines <> 'clash' or copies <> 'clash'").count() == 0
+
+
+def test_odd_pages(spark, odd):
+    rows = sorted(((r["page_id"] is None, r["page_id"] or 0, r["n_chars"]) for r in QUERIES["op12_html_extraction"](spark, odd).collect()))
+    assert rows == [(False, 1, 1), (False, 2, 1), (False, 2, 1), (False, 3, 0), (False, 4, 0), (False, 5, 2_000_000), (True, 0, 1), (True, 0, 4)]
