@@ -10,16 +10,19 @@ gallop together.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +35,9 @@ from loreweave.session import durable
 #: Where the vocabulary files of public tokenizers lie on every executor.
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text tokenised and aligned together; one text may exceed it.
-PIECE = 1 << 20
+#: Bytes of text tokenised and aligned together; one text may exceed it. Token lists and
+#: their arrays take some hundred bytes per byte of text while a piece is in work.
+PIECE = 1 << 18
 #: Bytes of text whose links share one dictionary of pairs.
 CHUNK = 8 << 20
 #: Ids of B lie below this; a pair of ids is one number, A's id times it plus B's.
@@ -237,16 +241,26 @@ def _lengths(tokenizer) -> np.ndarray:
     return tokenizer.lengths
 
 
-def _pieces(values: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
+def _pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together."""
     begin = size = 0
-    for i, v in enumerate(values):
-        size += len(v or b"")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= most:
             yield begin, i + 1
             begin, size = i + 1, 0
-    if begin < len(values):
-        yield begin, len(values)
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task keeps
+    little more than its tokenizers."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def _text(raw: bytes | None) -> str | None:
@@ -257,31 +271,38 @@ def _text(raw: bytes | None) -> str | None:
 
 
 class _Chunk:
-    """Rows whose links share one dictionary."""
+    """Rows whose links share one dictionary. Group texts are kept only if asked for,
+    their digests always."""
 
-    def __init__(self, number: int):
-        self.number, self.size, self.rows, self.done = number, 0, [], []
+    def __init__(self, number: int, groups: bool):
+        self.number, self.size, self.groups = number, 0, groups
+        self.rows, self.n_a, self.n_b, self.links, self.digests, self.texts = [], [], [], [], [], []
 
     def add(self, rows: pa.RecordBatch, done: list[Aligned], size: int) -> None:
         self.rows.append(rows)
-        self.done += done
         self.size += size
-
-    def batches(self, schema: pa.Schema, groups: bool) -> Iterator[pa.RecordBatch]:
+        for d in done:
+            self.n_a.append(d.n_a)
+            self.n_b.append(d.n_b)
+            self.links.append(d.links)
+            self.digests.append(hashlib.sha256(d.groups).hexdigest() if d.n_a else "")
+            self.texts.append(d.groups.decode() if self.groups else None)
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """The rows, each link as its place among the chunk's distinct pairs, then a row with
         these pairs, ascending, and how often each is linked."""
-        links = np.concatenate([d.links for d in self.done])
-        pairs, codes, times = np.unique(links, return_inverse=True, return_counts=True)
-        offsets = np.append(0, np.cumsum([len(d.links) for d in self.done])).astype(np.int32)
-        n, given = len(self.done), pa.Table.from_batches(self.rows).combine_chunks()
+        pairs, codes, times = np.unique(np.concatenate(self.links), return_inverse=True, return_counts=True)
+        found = [len(x) for x in self.links]
+        offsets = np.append(0, np.cumsum(found)).astype(np.int32)
+        n, given = len(found), pa.Table.from_batches(self.rows).combine_chunks()
         made = {
             "chunk": pa.array([self.number] * n, pa.int64()),
-            "n_a": pa.array([d.n_a for d in self.done], pa.int64()),
-            "n_b": pa.array([d.n_b for d in self.done], pa.int64()),
-            "n_groups": pa.array([len(d.links) for d in self.done], pa.int64()),
-            "groups_sha256": pa.array([hashlib.sha256(d.groups).hexdigest() if d.n_a else "" for d in self.done], pa.string()),
+            "n_a": pa.array(self.n_a, pa.int64()),
+            "n_b": pa.array(self.n_b, pa.int64()),
+            "n_groups": pa.array(found, pa.int64()),
+            "groups_sha256": pa.array(self.digests, pa.string()),
             "codes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.astype(np.int32))),
-            "groups": pa.array([d.groups.decode() for d in self.done] if groups else [None] * n, pa.string()),
+            "groups": pa.array(self.texts, pa.string()),
         }
         columns = [made[f.name] if f.name in made else given.column(f.name).combine_chunks() if f.name in given.column_names else pa.nulls(n, f.type) for f in schema]
         yield from pa.Table.from_arrays(columns, schema=schema).to_batches()
@@ -306,19 +327,22 @@ def aligned(docs: DataFrame, folder: str = FOLDER, groups: bool = False, piece:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
-        held = _Chunk(number)
+        held = _Chunk(number, groups)
         for batch in batches:
-            raw = batch.column("text").to_pylist()
-            rows = batch.drop_columns(["text"])
-            for i, j in _pieces(raw, piece):
-                done = align([_text(x) for x in raw[i:j]], *pair)
-                held.add(rows.slice(i, j - i), done, sum(len(x or b"") for x in raw[i:j]))
+            raw, rows = batch.column("text"), batch.drop_columns(["text"])
+            sizes = pc.fill_null(pc.binary_length(raw), 0).to_pylist()
+            for i, j in _pieces(sizes, piece):
+                done = align([_text(x) for x in raw.slice(i, j - i).to_pylist()], *pair)
+                held.add(rows.slice(i, j - i), done, sum(sizes[i:j]))
                 if held.size >= chunk:
-                    yield from held.batches(to_arrow_schema(schema), groups)
+                    yield from held.batches(to_arrow_schema(schema))
                     number += 1
-                    held = _Chunk(number)
+                    held = _Chunk(number, groups)
+                    _give_back()
         if held.rows:
-            yield from held.batches(to_arrow_schema(schema), groups)
+            yield from held.batches(to_arrow_schema(schema))
+        del held
+        _give_back()
 
     return given.mapInArrow(run, schema)
 
@@ -346,12 +370,16 @@ def scored(rows: DataFrame) -> DataFrame:
 
     def look_up(texts: pa.Table, known: pa.Table) -> pa.Table:
         order = np.argsort(known.column("pair").to_numpy())
-        count = known.column("count").to_numpy()[order]
-        best = known.column("best").to_numpy()[order].astype(np.int64)
         codes = texts.column("codes").combine_chunks()
         flat, cuts = codes.flatten().to_numpy(), codes.offsets.to_numpy() - codes.offsets[0].as_py()
-        sums = [np.diff(np.append(0, np.cumsum(x[flat]))[cuts]) for x in (best, count)]
-        return texts.drop_columns(["chunk", "codes"]).append_column("n_best", pa.array(sums[0], pa.int64())).append_column("count_sum", pa.array(sums[1], pa.int64()))
+        out = texts.drop_columns(["chunk", "codes"])
+        for name, of in (("n_best", "best"), ("count_sum", "count")):
+            value = known.column(of).to_numpy()[order].astype(np.int64)
+            running = np.zeros(len(flat) + 1, np.int64)
+            np.cumsum(value[flat], out=running[1:])
+            out = out.append_column(name, pa.array(np.diff(running[cuts]), pa.int64()))
+        _give_back()
+        return out
 
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(look_up, schema)
 
