@@ -10,7 +10,9 @@ from loreweave.functions import clock, text
 from loreweave.operators.filters import valid_at
 from loreweave.operators.links import scope_of
 
-MAX_INSTANTS = 1000
+# Levels of time cells below the one where cells and instants are equally many. Each one
+# halves the rows that an uneven spread of instants lets through to the exact filter.
+FINER = 3
 
 
 def upsert_entities(entities: DataFrame, order: str = "seq") -> DataFrame:
@@ -100,37 +102,86 @@ def _narrow(edges: DataFrame, type_: str | None, entity: str | None) -> DataFram
     return out
 
 
-def as_of_join(rows: DataFrame, instants: DataFrame, max_instants: int = MAX_INSTANTS) -> DataFrame:
-    """Rows valid at each instant of ``instants(at)``, NULL bounds being open.
+def as_of_join(rows: DataFrame, instants: DataFrame) -> DataFrame:
+    """Rows valid at each distinct instant of ``instants(at)``, NULL bounds being open;
+    NULL instants match nothing.
 
-    Up to ``max_instants`` distinct instants (counted first) each row picks the ones
-    inside its interval in place. Beyond that both sides meet on months, each row
-    being copied to the months of its interval that hold instants.
+    Time between the first and the last instant is a binary tree of cells. A row's
+    interval is covered by at most two nodes a level, an instant lies in one node of
+    each level, so both meet in one equi join on the node, each pair exactly once. The
+    outermost cells of a cover may hold instants just outside the interval; the exact
+    bounds are tested after the join. The depth follows the number of instants, not
+    the length of time.
     """
-    few = [r["at"] for r in instants.select("at").distinct().limit(max_instants + 1).collect()]
-    if len(few) <= max_instants:
-        stamps = F.array(*[clock.instant(x) for x in sorted(few)]) if few else F.array().cast("array<timestamp_ntz>")
-        inside = F.filter(
-            stamps,
-            lambda t: (F.col("valid_from").isNull() | (F.col("valid_from") <= t)) & (F.col("valid_until").isNull() | (t < F.col("valid_until"))),
-        )
-        return rows.withColumn("at", F.explode(inside))
-    asked = instants.select("at").distinct().withColumn("_m", _month(F.col("at")))
-    low, high = asked.agg(F.min("_m")).scalar(), asked.agg(F.max("_m")).scalar()
-    first = F.greatest(F.coalesce(_month(F.col("valid_from")), low), low)
-    last = F.least(F.coalesce(_month(F.col("valid_until")), high), high)
-    spread = rows.withColumn("_m", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
-    return spread.join(asked, "_m").filter(valid_at(F.col("at"))).drop("_m")
+    asked = instants.select("at").filter(F.col("at").isNotNull()).distinct()
+    size = asked.agg(F.struct(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))).scalar()
+    tree = F.struct(
+        size.getField("low").alias("low"), size.getField("high").alias("high"),
+        F.length(F.bin(clock.micros_between(size.getField("low"), size.getField("high")))).alias("bits"),
+        (F.length(F.bin(size.getField("n"))) + FINER).alias("wanted"),
+    )
+    points = asked.withColumn("_t", tree).select("at", F.explode(_above(_cell(F.col("at")), _depth())).alias("_node"))
+
+    start, end = F.col("valid_from"), F.col("valid_until")
+    low, high = F.col("_t.low"), F.col("_t.high")
+    placed = rows.withColumn("_t", tree).filter(
+        (start.isNull() | (start <= high)) & (end.isNull() | (end > low)) & (start.isNull() | end.isNull() | (start < end))
+    )
+    first = _cell(F.greatest(start, low))
+    last = _cell(F.least(end - F.expr("INTERVAL '0.000001' SECOND"), high))
+    spread = placed.withColumn("_node", F.explode(_cover(first, last, _depth()))).drop("_t")
+    return spread.join(points, "_node").filter(valid_at(F.col("at"))).drop("_node")
+
+
+def _depth() -> Column:
+    return F.least("_t.bits", "_t.wanted")
+
+
+def _halved(c: Column, times: Column) -> Column:
+    return F.call_function("shiftright", c, times.cast("int"))
+
+
+def _cell(at: Column) -> Column:
+    """Number of the smallest cell an instant lies in; cells are powers of two of
+    microseconds wide."""
+    return _halved(clock.micros_between(F.col("_t.low"), at), F.col("_t.bits") - _depth())
 
 
-def _month(c: Column) -> Column:
-    return (F.year(c) * 12 + F.month(c)).cast("int")
+def _once(make, **values: Column) -> Column:
+    """``make`` of a struct of the values, each computed once a row, not once a level."""
+    return F.flatten(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), make))
+
+
+def _two_to(power: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), power.cast("int"))
+
+
+def _above(position: Column, depth: Column) -> Column:
+    """Numbers of the nodes a cell lies in, one a level, the root being 1."""
+    return _once(
+        lambda v: F.transform(F.sequence(F.lit(0), v["depth"]), lambda level: _halved(v["leaf"], level)),
+        leaf=position + _two_to(depth), depth=depth,
+    )
+
+
+def _cover(first: Column, last: Column, depth: Column) -> Column:
+    """Fewest nodes that hold the cells from ``first`` to ``last`` and no others."""
+
+    def ends(v: Column, level: Column) -> Column:
+        left, right = _halved(v["first"] + _two_to(level) - 1, level), _halved(v["after"], level)
+        base, some = _two_to(v["depth"] - level), left < right
+        return F.array(F.when(some & (left % 2 == 1), left + base), F.when(some & (right % 2 == 1), right - 1 + base))
+
+    nodes = _once(
+        lambda v: F.flatten(F.transform(F.sequence(F.lit(0), v["depth"]), lambda level: ends(v, level))),
+        first=first, after=last + 1, depth=depth,
+    )
+    return F.array_compact(nodes)
 
 
-def facts_as_of(versions: DataFrame, instants: DataFrame, order: list[str], max_instants: int = MAX_INSTANTS) -> DataFrame:
+def facts_as_of(versions: DataFrame, instants: DataFrame, order: list[str]) -> DataFrame:
     """The latest version of each fact that was valid at each instant."""
-    valid = as_of_join(versions, instants, max_instants)
-    return skew.first_per_key(valid, ["vault", "fact_key", "at"], [F.desc(c) for c in order])
+    return skew.first_per_key(as_of_join(versions, instants), ["vault", "fact_key", "at"], [F.desc(c) for c in order])
 
 
 def entity_as_of(entities: DataFrame, edges: DataFrame, at) -> DataFrame:

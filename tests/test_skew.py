@@ -121,13 +121,37 @@ def test_name_dedup_misses_no_pair(spark, threshold):
     assert got == want
 
 
-def test_as_of_join_both_ways(spark):
-    rows = spark.range(40).select(
-        "id", F.expr("timestamp_ntz '2023-01-01 00:00:00' + make_dt_interval(id * 9)").alias("valid_from"),
-        F.expr("CASE WHEN id % 3 > 0 THEN timestamp_ntz '2023-01-01 00:00:00' + make_dt_interval(id * 9 + 70) END").alias("valid_until"),
-    )
-    instants = spark.range(30).select(F.expr("timestamp_ntz '2023-02-01 00:00:00' + make_dt_interval(id * 12)").alias("at"))
-    same(gr.as_of_join(rows, instants).select("id", "at"), gr.as_of_join(rows, instants, max_instants=1).select("id", "at"))
+def _moments(spread, n):
+    """Instants spread evenly, or most of them within one second of a long time."""
+    start = dt.datetime(2023, 1, 1)
+    if spread == "even":
+        return [start + dt.timedelta(days=12 * i) for i in range(n)]
+    return [start + dt.timedelta(microseconds=i * i) for i in range(n)] + [start + dt.timedelta(days=4000)]
+
+
+@pytest.mark.parametrize("spread,n", [("even", 0), ("even", 1), ("even", 30), ("dense", 200)])
+def test_as_of_join_matches_brute_force(spark, spread, n):
+    """Open, empty, reversed and repeated intervals; repeated and null instants."""
+    at = _moments(spread, n)
+    rng = np.random.default_rng(7)
+    edge = at + [t + dt.timedelta(microseconds=d) for t in at for d in (-1, 1)] + [dt.datetime(1990, 1, 1), dt.datetime(2060, 1, 1), None]
+    pick = lambda: edge[rng.integers(len(edge))]
+    rows = [(i, pick(), pick()) for i in range(150)] + [(150, None, None), (150, None, None)]
+    held = spark.createDataFrame(rows, "id long, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    asked = spark.createDataFrame([(t,) for t in [*at, *at[:5], None]], "at timestamp_ntz")
+    got = sorted((r["id"], r["at"]) for r in gr.as_of_join(held, asked).collect())
+    assert got == sorted((i, t) for i, a, b in rows for t in at if (a is None or a <= t) and (b is None or t < b))
+
+
+def test_as_of_cover_is_exact_and_small(spark):
+    """Every interval of 32 cells: the nodes hold its cells once, at most two a level."""
+    pairs = spark.createDataFrame([(a, b) for a in range(32) for b in range(a, 32)], "a long, b long")
+    for a, b, nodes in pairs.select("a", "b", gr._cover(F.col("a"), F.col("b"), F.lit(5))).collect():
+        cells = []
+        for x in nodes:
+            width = 1 << (6 - x.bit_length())
+            cells += range(x * width - 32, (x + 1) * width - 32)
+        assert sorted(cells) == list(range(a, b + 1)) and len(nodes) <= 10
 
 
 def test_as_of_queries_join_open_ended_edges(spark):
