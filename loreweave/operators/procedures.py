@@ -187,19 +187,38 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(empty, 0.0).otherwise(text.let(packed, score))
 
 
+def _highest_similarity(a: Column, b: Column) -> Column:
+    """No less than ``name_similarity``: the word overlap as it is, the letter pairs as
+    if the shorter name's were all in the longer one, the same action word."""
+
+    def score(s: Column) -> Column:
+        shared = F.size(F.filter(s["wb"], lambda w: F.array_contains(s["wa"], w)))
+        return shared / (F.size(s["wa"]) + F.size(s["wb"]) - shared) * 0.6
+
+    def words_of(n: Column) -> Column:
+        return F.filter(F.split(n, r"\s+"), lambda w: w != "")
+
+    la, lb = F.length(a) - 1, F.length(b) - 1
+    letters = F.when((la > 0) & (lb > 0), 2 * F.least(la, lb) / (la + lb)).otherwise(0.0)
+    reached = text.let(F.struct(words_of(a).alias("wa"), words_of(b).alias("wb")), score) + letters * 0.4 + 0.15
+    return F.when(a == b, 1.0).otherwise(reached)
+
+
 def dedup_procedures(new: DataFrame, old: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Per new name the most similar old procedure at or above ``threshold``, if any.
 
     Only distinct names are compared, and only names that share a rare word: to reach
-    a threshold t, the word overlap must be at least j = (t - 0.55) / 0.6, so at most
-    a share 1 - j / (1 + j) of an old name's words may miss the new name. Probing that
-    many of its rarest words, plus one, finds every match. Thresholds that need no
-    shared word at all are refused.
+    a threshold t, the word overlap must be at least j = (t - 0.55) / 0.6, so two names
+    of m and n words share at least j / (1 + j) * (m + n) of them. Where the rarest
+    shared word of an old name is followed by k - 1 commoner ones, that leaves new names
+    of at most k * (1 + j) / j - n words; longer ones are not looked up by that word.
+    Pairs whose shared words and lengths leave the threshold out of reach go before
+    letters are counted. Thresholds that need no shared word at all are refused.
     """
     j = (threshold - 1e-6 - 0.55) / 0.6
     if j <= 0:
         raise ValueError("threshold must be above 0.55")
-    miss = 1.0 - j / (1.0 + j)
+    reach = (1.0 + j) / j
 
     def clean(c: str) -> Column:
         return F.lower(text.squeeze(F.col(c)))
@@ -210,16 +229,21 @@ def dedup_procedures(new: DataFrame, old: DataFrame, threshold: float = 0.85) ->
     def words(df: DataFrame, name: str) -> DataFrame:
         return df.select(name, F.posexplode(F.filter(F.split(name, r"\s+"), lambda w: w != "")).alias("_i", "word"))
 
-    index = words(asked, "name").select("name", "word").distinct()
+    index = words(asked, "name").groupBy("name").agg(F.count(F.lit(1)).alias("_m"), F.collect_set("word").alias("_s")).select(
+        "name", "_m", F.explode("_s").alias("word")
+    )
     common = index.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
     rare_first = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), "word", "_i")))
+    left = F.col("_n") - F.col("_p")
     probes = (
         words(held, "old_name").join(common, "word", "left").groupBy("old_name").agg(rare_first.alias("_w"))
-        .select("old_name", F.explode(F.slice("_w", F.lit(1), F.floor(F.size("_w") * F.lit(miss) + 1e-9).cast("int") + 1)).alias("_p"))
-        .select("old_name", F.col("_p.word").alias("word"))
-        .distinct()
+        .select("old_name", F.size("_w").alias("_n"), F.posexplode("_w").alias("_p", "_x"))
+        .select("old_name", F.col("_x.word").alias("word"), (left * reach - F.col("_n") + 1e-9).alias("_most"))
+        .filter(F.col("_most") >= 1)
+        .groupBy("old_name", "word").agg(F.max("_most").alias("_most"))
     )
-    pairs = probes.join(index, "word").select("name", "old_name").distinct()
+    met = probes.join(index, "word").filter(F.col("_m") <= F.col("_most")).select("name", "old_name").distinct()
+    pairs = met.filter(_highest_similarity(F.col("name"), F.col("old_name")) >= threshold - 1e-6)
     scored = pairs.withColumn("similarity", F.round(name_similarity(F.col("name"), F.col("old_name")), 6)).filter(
         F.col("similarity") >= threshold
     )
