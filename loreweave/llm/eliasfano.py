@@ -5,6 +5,24 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Place of the k-th one (from 0) of a byte.
+_NTH = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _places = [_k for _k in range(8) if _byte >> _k & 1]
+    _NTH[_byte, : len(_places)] = _places
+
+
+def _nth(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each word."""
+    place = np.zeros(len(x), np.int64)
+    for s in (32, 16, 8):
+        part = x & np.uint64((1 << s) - 1)
+        ones = np.bitwise_count(part)
+        go = k >= ones
+        k = np.where(go, k - ones, k)
+        x = np.where(go, x >> np.uint64(s), part)
+        place += s * go
+    return place + _NTH[x.astype(np.int64) & 255, k]
 
 
 class EliasFano:
@@ -52,15 +70,7 @@ class EliasFano:
         """Place of the k-th zero (from 0) of the unary part."""
         word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
         left = k - self.zeros[word].astype(np.int64)
-        x, place = ~self.high[word], word * 64
-        for s in (32, 16, 8, 4, 2, 1):
-            part = x & np.uint64((1 << s) - 1)
-            ones = np.bitwise_count(part).astype(np.int64)
-            go = left >= ones
-            left = np.where(go, left - ones, left)
-            x = np.where(go, x >> np.uint64(s), part)
-            place = place + s * go
-        return place
+        return word * 64 + _nth(~self.high[word], left)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, or -1: the successor in the value's bucket, compared."""
@@ -97,14 +107,7 @@ class EliasFano:
         ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(ones, i, side="right") - 1
         left = i - ones[word]
-        x, place = self.high[word].copy(), word * 64
-        for s in (32, 16, 8, 4, 2, 1):
-            part = x & np.uint64((1 << s) - 1)
-            count = np.bitwise_count(part).astype(np.int64)
-            go = left >= count
-            left = np.where(go, left - count, left)
-            x = np.where(go, x >> np.uint64(s), part)
-            place = place + s * go
+        place = word * 64 + _nth(self.high[word], left)
         return ((place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:

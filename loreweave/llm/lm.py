@@ -271,7 +271,7 @@ def _load(folder: str, path: str) -> dict[str, np.ndarray]:
     """Arrays of a file: mapped where the store has plain files, else read at once."""
     store, _ = _store(folder)
     if isinstance(store, fs.LocalFileSystem):
-        data = np.memmap(path, dtype=np.uint8, mode="r")
+        data = np.asarray(np.memmap(path, dtype=np.uint8, mode="r"))
     else:
         with store.open_input_file(path) as source:
             data = np.frombuffer(source.read_buffer(), dtype=np.uint8)
@@ -358,21 +358,15 @@ class Shard:
         found[ok] = self.level1.find(at[ok].astype(np.uint64))
         return found[inverse]
 
-    def child(self, level: EliasFano, node: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = np.where(node >= 0, self.ids(h), -1)
-        found = np.full(len(h), -1, np.int64)
-        ok = at >= 0
+    def child(self, level: EliasFano, node: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Nodes of the words at places ``at`` of the vocabulary below ``node``."""
+        found = np.full(len(at), -1, np.int64)
+        ok = np.flatnonzero((node >= 0) & (at >= 0))
         found[ok] = level.find(node[ok].astype(np.uint64) * np.uint64(self.vocab.n) + at[ok].astype(np.uint64))
         return found
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.child(self.level2, self.word(a), b)
-
-    def triple(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        first = np.flatnonzero(new)  # equal contexts mostly stand together
-        node = self.pair(a[first], b[first])[np.cumsum(new) - 1]
-        return self.child(self.level3, node, c)
+        return self.child(self.level2, self.word(a), self.ids(b))
 
     def successors(self, node: int, level: int) -> np.ndarray:
         """Hashes of the words below a node of ``level`` 1 or 2, by its pointers."""
@@ -463,94 +457,105 @@ class Scorer:
             self.open[s] = Shard(_load(self.model.folder, self.model.paths[s]))
         return self.open[s]
 
-    def _by_shard(self, places: np.ndarray, look) -> None:
-        order = np.argsort(places, kind="stable")
-        ends = np.searchsorted(places[order], np.arange(self.model.layout.shards + 1))
-        for s in np.flatnonzero(np.diff(ends)):
+    def _by_shard(self, look, *places: np.ndarray) -> None:
+        """Calls ``look`` for each shard with the indexes that each of ``places`` has there."""
+        orders = [np.argsort(p, kind="stable") for p in places]
+        ends = [np.searchsorted(p[o], np.arange(self.model.layout.shards + 1)) for p, o in zip(places, orders)]
+        for s in np.flatnonzero(sum(np.diff(e) for e in ends)):
             shard = self.shard(int(s))
             if shard is not None:
-                look(shard, order[ends[s] : ends[s + 1]])
+                look(shard, *(o[e[s] : e[s + 1]] for o, e in zip(orders, ends)))
 
-    def words(self, h: np.ndarray) -> np.ndarray:
-        """Training counts of words."""
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of words and their nodes, -1 for unknown and for frequent ones."""
         n, _ = self.model.total(0, h)
-
-        def look(shard: Shard, at: np.ndarray) -> None:
-            node = shard.word(h[at])
-            n[at] = np.where(node >= 0, shard.arrays["count"][np.maximum(node, 0)], 0)
-
+        nodes = np.full(len(h), -1, np.int64)
         rest = np.flatnonzero(~self.model.layout.hot_word(h))
-        self._by_shard(self.model.layout.place(h[rest]), lambda shard, at: look(shard, rest[at]))
-        return n
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For pairs: the part of b's probability after a that counts give, the weight left
-        to the shorter context of a, and the same weight for the pair as a context."""
-        layout = self.model.layout
-        seen, left, back = np.zeros(len(a)), np.ones(len(a)), np.ones(len(a))
-        hot_a, hot = layout.hot_word(a), layout.hot_word(a) & layout.hot_pair(a, b)
-        _, below = self.model.total(0, a)
-        left = np.where(hot_a, PAIR / (below + PAIR), left)
-        n, deep = self.model.total(1, _mixed(a, b))
-        seen = np.where(hot, n / (below + PAIR), seen)
-        back = np.where(hot & (deep > 0), TRIPLE / (deep + TRIPLE), back)
 
         def look(shard: Shard, at: np.ndarray) -> None:
-            word = shard.word(a[at])
-            node = shard.child(shard.level2, word, b[at])
-            own = ~hot_a[at]
+            node = shard.word(h[rest[at]])
+            nodes[rest[at]] = node
+            n[rest[at]] = np.where(node >= 0, shard.arrays["count"][np.maximum(node, 0)], 0)
+
+        self._by_shard(look, self.model.layout.place(h[rest]))
+        return n, nodes
+
+    def grams(self, hashes: np.ndarray, nodes: np.ndarray, a: np.ndarray, b: np.ndarray, context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For pairs of codes ``a, b`` with their words' ``nodes``: the part of b's
+        probability after a that counts give, the weight left to the shorter context of a,
+        and the same weight for the pair as a context. For triples of a pair ``context`` and
+        a code ``c``: the part of c's probability after the pair that counts give.
+
+        A shard is visited once: the words that its pairs and triples name are looked up
+        together, and a triple goes on from the node of its pair, which is in the same
+        shard unless the pair is a frequent one.
+        """
+        layout = self.model.layout
+        of_a, of_b, nodes = hashes[a], hashes[b], nodes.copy()
+        hot_word = layout.hot_word(hashes)
+        frequent, hot_a = np.flatnonzero(hot_word), hot_word[a]
+        hot = hot_a & layout.hot_pair(of_a, of_b)
+        _, below = self.model.total(0, of_a)
+        n, deep = self.model.total(1, _mixed(of_a, of_b))
+        left = np.where(hot_a, PAIR / (below + PAIR), 1.0)
+        seen = np.where(hot, n / (below + PAIR), 0.0)
+        back = np.where(hot & (deep > 0), TRIPLE / (deep + TRIPLE), 1.0)
+        seen3 = np.zeros(len(c))
+        rest = np.flatnonzero(~hot)
+        places = layout.place(of_a, of_b)
+        places3, spread = places[context], hot[context]
+        places3[spread] = layout.place(of_a[context[spread]], of_b[context[spread]], hashes[c[spread]])
+        named, ids, pair_nodes = np.zeros(len(hashes), bool), np.full(len(hashes), -1, np.int64), np.full(len(a), -1, np.int64)
+
+        def look(shard: Shard, at: np.ndarray, at3: np.ndarray) -> None:
+            at, on = rest[at], context[at3]
+            also = np.unique(on[hot[on]])  # frequent pairs are in every shard
+            named[b[at]] = named[b[also]] = named[c[at3]] = named[frequent] = True
+            used = np.flatnonzero(named)
+            named[used] = False
+            ids[used] = shard.vocab.find(hashes[used])
+            ok = frequent[ids[frequent] >= 0]
+            nodes[frequent] = -1
+            nodes[ok] = shard.level1.find(ids[ok])
+            word, own = nodes[a[at]], ~hot_a[at]
+            node = shard.child(shard.level2, word, ids[b[at]])
+            pair_nodes[at] = node
+            if len(also):
+                pair_nodes[also] = shard.child(shard.level2, nodes[a[also]], ids[b[also]])
             under = np.where(word >= 0, shard.arrays["below"][np.maximum(word, 0)], 0)
             left[at] = np.where(own, PAIR / (under + PAIR), left[at])
             ok = node >= 0
             if ok.any():
                 value = shard.values("pair", node)
-                value = np.where(own, value, value / (below[at] + PAIR))
-                seen[at] = np.where(ok, value, 0.0)
+                seen[at] = np.where(ok, np.where(own, value, value / (below[at] + PAIR)), 0.0)
                 back[at] = np.where(ok, shard.values("back", node), 1.0)
-
-        rest = np.flatnonzero(~hot)
-        self._by_shard(layout.place(a[rest], b[rest]), lambda shard, at: look(shard, rest[at]))
-        return seen, left, back
-
-    def triples(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The part of c's probability after a and b that counts give."""
-        layout = self.model.layout
-        seen = np.zeros(len(a))
-        hot = layout.hot_word(a) & layout.hot_pair(a, b)
-        _, below = self.model.total(1, _mixed(a, b))
-
-        def look(shard: Shard, at: np.ndarray) -> None:
-            node = shard.triple(a[at], b[at], c[at])
+            node = shard.child(shard.level3, pair_nodes[on], ids[c[at3]])
             ok = node >= 0
             if ok.any():
                 value = shard.values("triple", node)
-                seen[at] = np.where(ok, np.where(hot[at], value / (below[at] + TRIPLE), value), 0.0)
+                seen3[at3] = np.where(ok, np.where(hot[on], value / (deep[on] + TRIPLE), value), 0.0)
 
-        self._by_shard(layout.place(a, b, c), look)
-        return seen
+        self._by_shard(look, places[rest], places3)
+        return seen, left, back, seen3
 
     def score(self, batch: _Batch) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score and score."""
         codes, hashes, lengths = batch.close()
         starts = np.cumsum(lengths) - lengths
-        counts = self.words(hashes)
+        counts, nodes = self.words(hashes)
         one = (counts + 1.0) / (self.model.tokens + self.model.distinct + 1.0)
         token = np.ones(len(codes), bool)
         for skip in (starts, starts + lengths - 1, starts + lengths - 2):
             token[skip] = False
         at = np.flatnonzero(token)
         (a, b), inverse = _distinct([codes[at - 1], codes[at]], len(hashes), return_inverse=True)
-        seen2, left2, back = self.pairs(hashes[a], hashes[b])
-        two = (seen2 + left2 * one[b])[inverse]
-        back = back[inverse]
         third = np.ones(len(at), bool)
         third[np.searchsorted(at, starts + 1)] = False  # first tokens have one before them
-        t = at[third]
-        (x, y, z), inverse3 = _distinct([codes[t - 2], codes[t - 1], codes[t]], len(hashes), return_inverse=True)
-        seen3 = self.triples(hashes[x], hashes[y], hashes[z])[inverse3]
-        p = two.copy()
         before = np.flatnonzero(third) - 1  # the token before is the pair that is the context
-        p[third] = seen3 + back[before] * two[third]
+        (context, c), inverse3 = _distinct([inverse[before], codes[at[third]]], max(len(a), len(hashes)), return_inverse=True)
+        seen2, left2, back, seen3 = self.grams(hashes, nodes, a, b, context, c)
+        p = (seen2 + left2 * one[b])[inverse]
+        p[third] = seen3[inverse3] + back[inverse[before]] * p[third]
         of = np.concatenate([[0], np.cumsum(lengths - 3)[:-1]])
         known, base = counts[codes[at]] > 0, np.log10(one[codes[at]])
         add = lambda v: np.add.reduceat(v, of)

@@ -214,6 +214,27 @@ def test_language_model_matches_counts(spark, monkeypatch):
         assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - full) < 1e-3 * len(t)
 
 
+def test_a_batch_searches_a_vocabulary_twice(tmp_path, monkeypatch):
+    """Once for its words, once for all that its pairs and triples name."""
+    batch = lm._Batch()
+    for text in (b"a b c a b d", b"b a b c", b""):
+        batch.add(text)
+    codes, hashes, _ = batch.close()
+    layout = lm.Layout(1)
+    a, b, c = (hashes[np.append(codes, [0, 0])[k : len(codes) + k]] for k in range(3))
+    keep = a != lm.NONE
+    arrays, _ = lm.build_shard(a[keep], b[keep], c[keep], np.ones(keep.sum(), np.int64), layout)
+    folder = f"file://{tmp_path}"
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    model = lm.Model(folder, [lm._save(folder, "0.trie", arrays)], layout, 13, 5, {0: none, 1: none})
+    scorer = lm.Scorer(model)
+    vocabulary, searched, find = scorer.shard(0).vocab, [], eliasfano.EliasFano.find
+    monkeypatch.setattr(eliasfano.EliasFano, "find", lambda self, x: searched.append(self is vocabulary) or find(self, x))
+    n, known, base, full = scorer.score(batch)
+    assert n.tolist() == known.tolist() == [7, 5, 1] and (full > base).all()
+    assert sum(searched) == 2
+
+
 def test_trie_children_by_pointers():
     a, b, c = (np.array(x, dtype=np.uint64) for x in ([10, 10, 10, 20, 30], [20, 20, 30, 30, 2], [30, 40, 2, 2, 0]))
     arrays, _ = lm.build_shard(a, b, c, np.array([1, 2, 1, 1, 1]), lm.Layout(1))
