@@ -387,7 +387,8 @@ def _alike(of, marks, size, label, tree, members, visitors, few, seed, out) -> N
     """As ``_search``, for candidates among sketches that have other labels and sizes that
     allow a link. A pair belongs to the first tree in whose block it differs in at most one
     bit. Members come in an order that all blocks share; each visitor gets the first ``few``
-    of its candidates and one more, which tells that it has others."""
+    of its candidates and one more, which tells that it has others. (A cell hands on the first
+    ``few`` alone, the last of them marked if there was another.)"""
     found = _cut(of[members], seed) if len(members) > BLOCK else None
     if found is None:
         for at in range(0, len(visitors), 2_048):
@@ -474,14 +475,20 @@ def link_similar(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
             a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
             order = np.argsort(place[b])
             a, b = _first(a[order], b[order], few + 1)
-            return pa.table({"of": ids[a], "with": ids[b], "place": place[b]})
+            nth = np.arange(len(a)) - np.searchsorted(a, a)
+            more = np.zeros(len(a), bool)
+            more[:-1] = nth[1:] == few  # the next pair is one too many
+            a, b, more = (x[nth < few] for x in (a, b, more))
+            return pa.table({"of": ids[a], "with": ids[b], "place": place[b], "more": more})
 
         routed = labelled.select("id", *more).mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, size int, label bigint, home boolean")
         dealt = _cells(routed, "id", *more)
-        met = dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "of bigint, with bigint, place bigint")
+        met = dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "of bigint, with bigint, place bigint, more boolean")
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy("place"))).filter(F.col("rank") <= few + 1)
-        now = F.col("rank") <= few
-        return ranked.select(F.when(now, F.least("of", "with")).otherwise(F.col("of")).alias("a"), F.when(now, F.greatest("of", "with")).alias("b")).distinct()
+        pair = F.struct(F.least("of", "with").alias("a"), F.greatest("of", "with").alias("b"))
+        alone = F.struct(F.col("of").alias("a"), F.lit(None).cast("long").alias("b"))
+        told = F.array_compact(F.array(F.when(F.col("rank") <= few, pair), F.when((F.col("rank") == few + 1) | F.col("more"), alone)))
+        return ranked.select(F.inline(told)).distinct()
 
     few, now, edges, sets = FEW, known.withColumn("label", F.col("id")), None, None
     while True:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from loreweave.llm import ann, decontam, eliasfano, linededup, lm, mixing, quality, secrets, simhash, toxicity, warc
@@ -379,6 +380,29 @@ def test_keep_first_in_dense_blocks(spark, monkeypatch):
     assert want <= kept and len(kept - want) <= 0.02 * len(rows)
 
 
+def test_a_text_hands_on_one_candidate_a_tree(spark, monkeypatch):
+    """In a group of near copies without cuts: at most one row a text and tree, where two were."""
+    rng = random.Random(9)
+    base, rows, made = [f"v{rng.randrange(5000)}" for _ in range(400)], [], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(400), 3):
+            words[at] = f"u{i}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(simhash, "build_tree", lambda values, leaf: [])
+    applied = GroupedData.applyInArrow
+
+    def counted(self, run, schema):
+        met = applied(self, run, schema)
+        if "place" in schema:
+            made.append(met.count())
+        return met
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    kept = [r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert kept == [0] and made[0] <= 12 * 300
+
+
 @pytest.mark.parametrize("n", [500, 4000])
 def test_candidates_of_a_group_do_not_grow_with_it(spark, monkeypatch, n):
     """One group of near copies: the first round compares a bounded number of pairs a text."""
