@@ -9,6 +9,7 @@ from loreweave import skew
 from loreweave.functions import clock, text
 from loreweave.operators.filters import valid_at
 from loreweave.operators.links import scope_of
+from loreweave.session import durable
 
 # Levels of time cells below the one where cells and instants are equally many. Each one
 # halves the rows that an uneven spread of instants lets through to the exact filter.
@@ -111,9 +112,11 @@ def as_of_join(rows: DataFrame, instants: DataFrame) -> DataFrame:
     each level, so both meet in one equi join on the node, each pair exactly once. The
     outermost cells of a cover may hold instants just outside the interval; the exact
     bounds are tested after the join. The depth follows the number of instants, not
-    the length of time.
+    the length of time. The instants are kept as a table of known size: when they are
+    few the optimiser broadcasts them and no row has to move to its nodes, of which
+    those of long intervals would be hot.
     """
-    asked = instants.select("at").filter(F.col("at").isNotNull()).distinct()
+    asked = durable(instants.select("at").filter(F.col("at").isNotNull()).distinct())
     size = asked.agg(F.struct(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))).scalar()
     tree = F.struct(
         size.getField("low").alias("low"), size.getField("high").alias("high"),
