@@ -208,10 +208,13 @@ def sparse_encode(docs: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Unit-length tf-idf weights ``(key, term, weight)``.
 
     A document has a bounded vocabulary, but its norm is taken by an aggregate and
-    a join back all the same, so partial sums travel instead of rows.
+    a join back all the same, so partial sums travel instead of rows. Postings are
+    counted once and kept; frequencies and norms are tables of known size, which the
+    optimiser broadcasts while they are small.
     """
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = 1 + F.log((n + 1) / (F.col("df") + 1))
-    raw = index.join(term_stats(index), "term").select(key, "term", (F.col("tf") * idf).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    held = durable(index.select(key, "term", "tf"))
+    raw = held.join(durable(term_stats(held)), "term").select(key, "term", (F.col("tf") * idf).alias("w"))
+    norms = durable(raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
     return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -45,3 +45,10 @@ def test_queries_without_terms_give_no_rows(spark, docs):
     asks = spark.createDataFrame([(1, "the of")], "query_id int, text string")
     assert lx.bm25(asks, lx.postings(docs, "key"), lx.collection_stats(docs), "key", 7).count() == 0
     assert lx.bm25(asks.limit(0), lx.postings(docs, "key"), lx.collection_stats(docs), "key", 7).count() == 0
+
+
+def test_sparse_encode_counts_postings_once(docs):
+    out = lx.sparse_encode(docs, lx.postings(docs, "key"), "key")
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    norms = out.groupBy("key").agg(F.sum(F.col("weight") * F.col("weight")).alias("n"))
+    assert norms.filter("abs(n - 1) > 1e-9").count() == 0 and norms.count() > 300
