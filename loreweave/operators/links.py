@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions import text
+from loreweave.session import durable
 
 # Fixed value: a wiki link with an optional display text.
 WIKI_LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
@@ -96,6 +97,8 @@ def wiki_links(docs: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
+#: Classes of beginnings and ends that paths are told apart by before a shuffle.
+LOOKS = 4096
 BEFORE, AFTER = " \t\n\"'(`", " \t\n\"').,`}>"
 
 
@@ -106,6 +109,9 @@ def path_references(docs: DataFrame, paths: DataFrame) -> DataFrame:
     they start at the text start or after one of the opening characters and end before
     a closing one. The first occurrence of the path then has to be a clean one. A path
     with spaces spans several words; the most words of any known path is looked up.
+    Pieces that begin and end like no known path drop out where they are read, so few
+    rows are shuffled. (A plain ``explode`` has its list made again to test that it is
+    not empty; the nulls of ``explode_outer`` fall to the filters.)
     """
     scope = scope_of(docs, paths)
     known = paths.select(*scope, F.col("path").alias("target_path")).distinct()
@@ -125,19 +131,22 @@ def path_references(docs: DataFrame, paths: DataFrame) -> DataFrame:
     def places(c: Column, chars: str) -> Column:
         return F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)).isin(*chars))
 
-    segments = docs.select(*scope, "path", F.explode(F.split("text", "[\t\n\"'`]")).alias("_s")).filter(F.col("_s") != "").withColumn("_most", most_words)
-    words = segments.select(*scope, "path", F.explode(text.let(F.split("_s", " "), lambda w: grams(w, F.col("_most")))).alias("_g")).filter(F.col("_g") != "")
+    segments = docs.select(*scope, "path", F.explode_outer(F.split("text", "[\t\n\"'`]")).alias("_s")).filter(F.col("_s") != "").withColumn("_most", most_words)
+    words = segments.select(*scope, "path", F.explode_outer(text.let(F.split("_s", " "), lambda w: F.when(F.col("_most") == 1, w).otherwise(grams(w, F.col("_most"))))).alias("_g")).filter(F.col("_g") != "")
     # Most words hold no bracket and no closing character, so they stay as they are.
     whole = F.array("_g")
     starts = F.when(F.col("_g").contains("("), F.concat(whole, F.transform(places(F.col("_g"), "("), lambda i: F.substr(F.col("_g"), i + 1)))).otherwise(whole)
-    opened = words.select(*scope, "path", F.explode(starts).alias("_c")).filter(F.col("_c") != "")
+    opened = words.select(*scope, "path", F.explode_outer(starts).alias("_c")).filter(F.col("_c") != "")
     alone = F.array("_c")
     ends = F.when(
         F.col("_c").rlike(r"[).,}>]"), F.concat(alone, F.transform(places(F.col("_c"), ").,}>"), lambda i: F.substr(F.col("_c"), F.lit(1), i - 1)))
     ).otherwise(alone)
-    candidates = opened.select(*scope, "path", F.explode(ends).alias("target_path")).filter(
+    candidates = opened.select(*scope, "path", F.explode_outer(ends).alias("target_path")).filter(
         (F.col("target_path") != F.col("path")) & (F.col("target_path") != "")
     )
+    looks = F.pmod(F.xxhash64(F.left("target_path", F.lit(3)), F.right("target_path", F.lit(3))), F.lit(LOOKS)).alias("_look")
+    like = durable(known.select(looks).distinct())
+    candidates = candidates.withColumn("_look", looks).join(like, "_look", "left_semi").drop("_look")
     pairs = candidates.join(known, [*scope, "target_path"]).distinct().join(docs.select(*scope, "path", "text"), [*scope, "path"])
     idx = F.expr("locate(target_path, text)") - 1
     previous = F.substr("text", idx, F.lit(1))

@@ -107,6 +107,15 @@ def test_path_references_with_spaces_and_brackets(spark):
     assert got == want and ("p1", "a b/c d.md") in got
 
 
+def test_path_references_shuffle_only_pieces_that_look_like_paths(spark):
+    docs = spark.createDataFrame([(f"p{i}", f"plain words here {i} doc/{i}.md, " * 5) for i in range(200)] + [("none", None), ("empty", "")], "path string, text string").repartition(4)
+    known = spark.createDataFrame([("doc/7.md",), ("doc/9.md",)], "path string")
+    out = lk.path_references(docs, known)
+    assert {(r["source_path"], r["target_path"]) for r in out.collect()} == {("p7", "doc/7.md"), ("p9", "doc/9.md")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_look" in plan and plan.count("split(text") == 1
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.75, 0.85])
 def test_name_dedup_misses_no_pair(spark, threshold):
     rng = np.random.default_rng(7)
