@@ -204,17 +204,18 @@ def _keep(out: list, v: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray)
         out[:] = [(a[few], b[few])]
 
 
-def _cells(routed: DataFrame, key: str, *more: str) -> DataFrame:
+def _cells(routed: DataFrame, key: str, *more: str, load: Column | None = None, most: int | None = None) -> DataFrame:
     """Rows ``(tree, shard, r, c, key, more, member)`` of shards cut in cells: a large shard's
     members by row, its visitors by column, so that each pair meets in one cell and a
-    cell holds about ``CELL`` of either at most."""
+    cell holds about ``CELL`` of either at most, or rows of about ``most`` in ``load``."""
+    load, most = (F.lit(1) if load is None else load).cast("long"), most or CELL
     sizes = (
         routed.groupBy("tree", "shard")
-        .agg(F.sum(F.col("home").cast("long")).alias("members"), F.count(F.lit(1)).alias("visitors"))
+        .agg(F.sum(F.col("home").cast("long") * load).alias("members"), F.sum(load).alias("visitors"))
         .select(
             "tree", "shard",
-            F.ceil(F.col("members") / CELL).cast("int").alias("rows"),
-            F.ceil(F.col("visitors") / CELL).cast("int").alias("cols"),
+            F.ceil(F.col("members") / most).cast("int").alias("rows"),
+            F.ceil(F.col("visitors") / most).cast("int").alias("cols"),
         )
     )
     seed = F.xxhash64(key)
@@ -302,8 +303,10 @@ def _groups(marked: DataFrame, member: Column) -> DataFrame:
 
 #: Fingerprints of a sketch, bits of a block, bits that may differ, members of a shard.
 WORDS, BITS, LIKE, WIDE = 3, 16, 40, 16_384
-#: Candidates that a row has compared in the first round.
+#: Candidates that a row has compared by joins, before what is left is compared in cells.
 FEW = 1
+#: Shingles of members or of visitors that one task compares.
+LOAD = 1 << 21
 
 _SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -383,16 +386,14 @@ def _block(marks: np.ndarray, t: int) -> np.ndarray:
     return ((marks[:, t // per] >> np.uint64(BITS * (t % per))) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
 
 
-def _alike(of, marks, size, label, tree, members, visitors, few, seed, out) -> None:
-    """As ``_search``, for candidates among sketches that have other labels and sizes that
-    allow a link. A pair belongs to the first tree in whose block it differs in at most one
-    bit. Members come in an order that all blocks share; each visitor gets the first ``few``
-    of its candidates and one more, which tells that it has others. (A cell hands on the first
-    ``few`` alone, the last of them marked if there was another.)"""
+def _alike(of, marks, size, label, tree, members, visitors, seed=0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_search``, tile by tile the pairs (visitor, member) of candidates: sketches that have
+    other labels and sizes that allow a link. A pair belongs to the first tree in whose block it
+    differs in at most one bit. In a tile a visitor's members keep their order."""
     found = _cut(of[members], seed) if len(members) > BLOCK else None
     if found is None:
         for at in range(0, len(visitors), 2_048):
-            v, got = visitors[at : at + 2_048], []
+            v = visitors[at : at + 2_048]
             for to in range(0, len(members), 1_024):
                 m = members[to : to + 1_024]
                 near = np.bitwise_count(of[v][:, None] ^ of[m][None, :]) <= 1
@@ -403,15 +404,23 @@ def _alike(of, marks, size, label, tree, members, visitors, few, seed, out) -> N
                 close = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= LIKE
                 for t in range(tree):
                     close &= np.bitwise_count(_block(apart, t)) > 1
-                got.append(_first(v[i[close]], m[j[close]], few + 1))
-            out.append(_first(*map(np.concatenate, zip(*got)), few + 1) if got else (v[:0], v[:0]))
+                if close.any():
+                    yield v[i[close]], m[j[close]]
         return
     vantage, cut = found
     d_m = np.bitwise_count(of[members] ^ vantage)
     d_v = np.bitwise_count(of[visitors] ^ vantage).astype(np.int64)
     near = d_m <= cut
-    _alike(of, marks, size, label, tree, members[near], visitors[d_v <= cut + 1], few, seed + 1, out)
-    _alike(of, marks, size, label, tree, members[~near], visitors[d_v > cut - 1], few, seed + 2, out)
+    yield from _alike(of, marks, size, label, tree, members[near], visitors[d_v <= cut + 1], seed + 1)
+    yield from _alike(of, marks, size, label, tree, members[~near], visitors[d_v > cut - 1], seed + 2)
+
+
+def _cell(key: tuple, rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """What ``_alike`` takes of a cell's rows, and before it their ids."""
+    member, ids = rows.column("member").to_numpy(zero_copy_only=False), rows.column("id").to_numpy()
+    marks, size, label = _marks(rows.column("marks")), rows.column("size").to_numpy().astype(np.int64), rows.column("label").to_numpy()
+    tree = key[0].as_py()
+    return ids, _block(marks, tree), marks, size, label, tree, np.flatnonzero(member), np.flatnonzero(~member)
 
 
 def _first(visitor: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -422,6 +431,53 @@ def _first(visitor: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray,
     return visitor[kept], member[kept]
 
 
+def _once(ids: np.ndarray, *cell) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidates of a cell, each pair in one of the two cells it meets in only."""
+    for v, m in _alike(*cell):
+        one = ids[v] < ids[m]
+        if one.any():
+            yield v[one], m[one]
+
+
+def _meeting(key: tuple, rows: pa.Table) -> pa.Table:
+    """The rows of a cell that are candidates of others there."""
+    hit = np.zeros(rows.num_rows, bool)
+    for v, m in _once(*_cell(key, rows)):
+        hit[v] = hit[m] = True
+    return rows.filter(pa.array(hit))
+
+
+def _near(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links ``(a, b)`` in a cell that connect what all of its candidates with four fifths or
+    more of their ``shingles`` in common connect, fewer than it has labels. A pair that is
+    connected already is not compared."""
+    ids, *cell = _cell(key, rows)
+    lists = [c for c in rows.column("shingles").chunks if len(c)]
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists]).astype(np.int64)
+    code = np.unique(np.concatenate([c.flatten().to_numpy() for c in lists]), return_inverse=True)[1]
+    start, root = np.cumsum(sizes) - sizes, np.unique(cell[3], return_inverse=True)[1]
+    mark, edges = np.zeros(len(code), bool), []
+    for visitors, members in _once(ids, *cell):
+        order = np.argsort(members, kind="stable")
+        cuts = np.flatnonzero(np.diff(members[order])) + 1
+        for v, m in zip(np.split(visitors[order], cuts), members[order][np.r_[0, cuts]]):
+            v = v[root[v] != root[m]]
+            if not len(v):
+                continue
+            own, ends = code[start[m] : start[m] + sizes[m]], np.cumsum(sizes[v])
+            mark[own] = True
+            at = np.arange(ends[-1]) + np.repeat(start[v] - (ends - sizes[v]), sizes[v])
+            seen = np.r_[0, np.cumsum(mark[code[at]])]
+            mark[own] = False
+            both = seen[ends] - seen[ends - sizes[v]]
+            v = v[9 * both >= 4 * (sizes[v] + sizes[m])]
+            joined, first = np.unique(root[v], return_index=True)
+            edges += [(ids[x], ids[m]) for x in v[first]]
+            root[np.isin(root, joined)] = root[m]
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose ``sets(id, shingles)`` have four fifths or more in common."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
@@ -435,11 +491,12 @@ def link_similar(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     four fifths or more common shingles connect. ``sets_of`` gives ``(id, shingles)`` of a
     table of ids.
 
-    Every edge is compared by its shingles. A round compares the first ``FEW`` candidates of
-    each row over all trees, in an order that all rows share, so a group of copies meets at
-    one of them; what these link needs no more comparing. A row with more candidates comes
-    back in a further round, with another order and four times as many, until none waits.
-    A pair is left over only if both its rows are, so no pair is lost.
+    Every edge is compared by its shingles. First come the first ``FEW`` candidates of each
+    row over all trees, in an order that all rows share, so a group of copies meets at one of
+    them; what these link needs no more comparing. Rows with more candidates then meet again,
+    with their shingles, and a cell compares all of them that are still apart. Texts that are
+    candidates but not near cost time there, a pair each, but no rows: a cell hands on fewer
+    links than it has labels. A pair is left over only if both its rows are, so none is lost.
     """
     n = known.count()
     share = min(1.0, SAMPLE / 4 / max(n, 1))
@@ -461,49 +518,51 @@ def link_similar(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
                     ["tree", "shard", "id", *more, "home"],
                 )
 
-    def candidates(labelled: DataFrame, few: int) -> DataFrame:
-        """``(a, b)`` to compare, and ``(a, null)`` for rows with pairs left over."""
-
-        def compare(key: tuple, rows: pa.Table) -> pa.Table:
-            member, ids = rows.column("member").to_numpy(zero_copy_only=False), rows.column("id").to_numpy()
-            marks, size, label = _marks(rows.column("marks")), rows.column("size").to_numpy().astype(np.int64), rows.column("label").to_numpy()
-            tree = key[0].as_py()
-            place = _remixed(ids.view(np.uint64) + np.uint64(few)).view(np.int64)
-            members = np.flatnonzero(member)
-            out: list = []
-            _alike(_block(marks, tree), marks, size, label, tree, members[np.argsort(place[members])], np.flatnonzero(~member), few, 0, out)
+    def dealt(labelled: DataFrame, **cut) -> DataFrame:
+        routed = labelled.select("id", *more).mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, size int, label bigint, home boolean")
+        return _cells(routed, "id", *more, **cut)
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, *cell, members, visitors = _cell(key, rows)
+        place = _remixed(ids.view(np.uint64) + np.uint64(FEW)).view(np.int64)
+        members = members[np.argsort(place[members])]
+
+        def first(out: list) -> tuple[np.ndarray, np.ndarray]:
             a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
             order = np.argsort(place[b])
-            a, b = _first(a[order], b[order], few + 1)
-            nth = np.arange(len(a)) - np.searchsorted(a, a)
-            more = np.zeros(len(a), bool)
-            more[:-1] = nth[1:] == few  # the next pair is one too many
-            a, b, more = (x[nth < few] for x in (a, b, more))
-            return pa.table({"of": ids[a], "with": ids[b], "place": place[b], "more": more})
+            return _first(a[order], b[order], FEW + 1)
 
-        routed = labelled.select("id", *more).mapInArrow(route, "tree int, shard int, id bigint, marks array<bigint>, size int, label bigint, home boolean")
-        dealt = _cells(routed, "id", *more)
-        met = dealt.groupBy("tree", "shard", "r", "c").applyInArrow(compare, "of bigint, with bigint, place bigint, more boolean")
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy("place"))).filter(F.col("rank") <= few + 1)
-        pair = F.struct(F.least("of", "with").alias("a"), F.greatest("of", "with").alias("b"))
-        alone = F.struct(F.col("of").alias("a"), F.lit(None).cast("long").alias("b"))
-        told = F.array_compact(F.array(F.when(F.col("rank") <= few, pair), F.when((F.col("rank") == few + 1) | F.col("more"), alone)))
-        return ranked.select(F.inline(told)).distinct()
-
-    few, now, edges, sets = FEW, known.withColumn("label", F.col("id")), None, None
-    while True:
-        found = durable(candidates(now, few))
-        if sets is None:
-            ids = found.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
-            sets = durable(sets_of(durable(ids)))
-        linked = durable(verified(found.filter("b is not null"), sets))
-        edges = linked if edges is None else durable(edges.unionByName(linked))
-        left = durable(found.filter("b is null").select(F.col("a").alias("id")))
-        if left.isEmpty():
-            return edges
-        groups = components(edges)
-        waiting = known.join(left, "id", "left_semi").join(groups, F.col("id") == groups["node"], "left")
-        now, few = durable(waiting.select("id", "marks", "size", F.coalesce("root", "id").alias("label"))), 4 * few
+        out: list = []
+        for v, m in _alike(*cell, members, visitors):
+            out.append(_first(v, m, FEW + 1))
+            if len(out) > 256:
+                out = [first(out)]
+        a, b = first(out)
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        others = np.zeros(len(a), bool)
+        others[:-1] = nth[1:] == FEW  # the next pair is one too many
+        a, b, others = (x[nth < FEW] for x in (a, b, others))
+        return pa.table({"of": ids[a], "with": ids[b], "place": place[b], "more": others})
+
+    # ``(a, b)`` to compare, and ``(a, null)`` for rows with pairs left over.
+    labelled = known.withColumn("label", F.col("id"))
+    met = dealt(labelled).groupBy("tree", "shard", "r", "c").applyInArrow(compare, "of bigint, with bigint, place bigint, more boolean")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy("place"))).filter(F.col("rank") <= FEW + 1)
+    pair = F.struct(F.least("of", "with").alias("a"), F.greatest("of", "with").alias("b"))
+    alone = F.struct(F.col("of").alias("a"), F.lit(None).cast("long").alias("b"))
+    told = F.array_compact(F.array(F.when(F.col("rank") <= FEW, pair), F.when((F.col("rank") == FEW + 1) | F.col("more"), alone)))
+    found = durable(ranked.select(F.inline(told)).distinct())
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    sets = durable(sets_of(durable(ids)))
+    edges = durable(verified(found.filter("b is not null"), sets))
+    left = durable(found.filter("b is null").select(F.col("a").alias("id")))
+    if left.isEmpty():
+        return edges
+    waiting = known.join(left, "id", "left_semi").join(components(edges), F.col("id") == F.col("node"), "left")
+    apart = dealt(durable(waiting.select("id", "marks", "size", F.coalesce("root", "id").alias("label"))), load=F.greatest("size", F.lit(1)), most=LOAD)
+    meeting = durable(apart.groupBy("tree", "shard", "r", "c").applyInArrow(_meeting, apart.schema))
+    near = meeting.join(sets, "id").groupBy("tree", "shard", "r", "c").applyInArrow(_near, "a bigint, b bigint")
+    return durable(edges.unionByName(near))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -419,3 +419,56 @@ def test_candidates_of_a_group_do_not_grow_with_it(spark, monkeypatch, n):
     monkeypatch.setattr(simhash, "verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
     kept = [r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
     assert kept == [0] and sum(compared) <= 2 * n
+
+
+def test_candidates_that_are_not_near_hand_on_few_rows(spark, monkeypatch):
+    """Two words in 120 changed in each text: most pairs are candidates at 0.7, few are near.
+    All pairs are compared, and no step hands on more than a row a text, tree and side."""
+    monkeypatch.setattr(simhash, "LIKE", 192)  # every pair that meets is a candidate
+    monkeypatch.setattr(simhash, "build_tree", lambda values, leaf: [])
+    rng = random.Random(10)
+    base, rows, made = [f"v{rng.randrange(5000)}" for _ in range(120)], [], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), 2):
+            words[at] = f"u{i}"
+        rows.append((i, " ".join(words)))
+    applied = GroupedData.applyInArrow
+
+    def counted(self, run, schema):
+        met = simhash.durable(applied(self, run, schema))
+        made.append(met.count())
+        return met
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = kept_by_brute_force(rows)
+    assert want <= kept and len(kept - want) <= 0.02 * len(rows) and len(kept) > 20
+    assert max(made) <= 24 * 400 and len(made) <= 3
+
+
+@pytest.mark.parametrize("load", [200, 1 << 21])
+def test_near_in_cut_cells_is_exact(spark, monkeypatch, load):
+    """Cells of few texts or of all: what is left after the first round links as by brute force."""
+    for name, value in (("LIKE", 192), ("LOAD", load), ("BLOCK", 4), ("WIDE", 40)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(simhash, "_block", lambda marks, t: (marks[:, 0] * np.uint64(t == 0) >> np.uint64(60)).astype(np.uint32))
+    monkeypatch.setattr(simhash, "BITS", 192)  # one tree of four bits, so that many meet
+    rng = random.Random(11)
+    bases = [[f"v{rng.randrange(5000)}" for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(240):
+        words = list(rng.choice(bases))
+        for at in rng.sample(range(60), rng.randint(0, 3)):
+            words[at] = f"u{rng.randrange(5000)}"
+        rows.append((i, " ".join(words)))
+    schema, sets = "id long, marks array<long>, size int", {i: five_word_runs(t) for i, t in rows}
+    marks = {i: simhash.shingles(t.encode()) for i, t in rows}
+    known = spark.createDataFrame([(i, simhash.sketch(h), len(h)) for i, h in marks.items()], schema).repartition(3)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = [(r["a"], r["b"]) for r in simhash.link_similar(known, lambda ids: simhash.shingle_sets(texts.join(ids, "id"))).collect()]
+    top = {i: simhash.sketch(h)[0] >> 60 & 15 for i, h in marks.items()}
+    meet = [(a, b) for a in marks for b in marks if a < b and (top[a] ^ top[b]).bit_count() <= 1]
+    want = [(a, b) for a, b in meet if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in got)
+    assert groups(got, sets) == groups(want, sets) and len(got) < 12 * len(rows)
