@@ -12,6 +12,8 @@ from loreweave.session import durable
 
 MAX_GAP = 3
 MIN_STEPS = 3
+#: Names with a common word that one key takes, about.
+WORD_NAMES = 2048
 
 # What marks an action turn, and a good or bad outcome.
 ACTION_WORDS = [
@@ -187,67 +189,104 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(empty, 0.0).otherwise(text.let(packed, score))
 
 
-def _highest_similarity(a: Column, b: Column) -> Column:
-    """No less than ``name_similarity``: the word overlap as it is, the letter pairs as
-    if the shorter name's were all in the longer one, the same action word."""
+def _numbered_bigrams(name: Column) -> Column:
+    """Letter pairs as numbers, equal ones told apart by their place among equals, so
+    that the numbers two names share are as many as the letter pairs they share."""
 
-    def score(s: Column) -> Column:
-        shared = F.size(F.filter(s["wb"], lambda w: F.array_contains(s["wa"], w)))
-        return shared / (F.size(s["wa"]) + F.size(s["wb"]) - shared) * 0.6
-
-    def words_of(n: Column) -> Column:
-        return F.filter(F.split(n, r"\s+"), lambda w: w != "")
+    def numbered(pairs: Column) -> Column:
+        place = lambda g, i: F.size(F.filter(F.slice(pairs, 1, i), lambda x: x == g))
+        return F.transform(pairs, lambda g, i: F.ascii(g).cast("long") * (1 << 42) + F.ascii(F.substr(g, F.lit(2))).cast("long") * (1 << 21) + place(g, i))
 
-    la, lb = F.length(a) - 1, F.length(b) - 1
-    letters = F.when((la > 0) & (lb > 0), 2 * F.least(la, lb) / (la + lb)).otherwise(0.0)
-    reached = text.let(F.struct(words_of(a).alias("wa"), words_of(b).alias("wb")), score) + letters * 0.4 + 0.15
-    return F.when(a == b, 1.0).otherwise(reached)
+    return text.let(_bigrams(name), numbered)
 
 
 def dedup_procedures(new: DataFrame, old: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Per new name the most similar old procedure at or above ``threshold``, if any.
 
-    Only distinct names are compared, and only names that share a rare word: to reach
-    a threshold t, the word overlap must be at least j = (t - 0.55) / 0.6, so two names
-    of m and n words share at least j / (1 + j) * (m + n) of them. Where the rarest
-    shared word of an old name is followed by k - 1 commoner ones, that leaves new names
-    of at most k * (1 + j) / j - n words; longer ones are not looked up by that word.
-    Pairs whose shared words and lengths leave the threshold out of reach go before
-    letters are counted. Thresholds that need no shared word at all are refused.
+    Only distinct names are compared, in two ways. Names of the same letter pairs meet
+    by these. For all others the letter overlap is at most 1 - 1 / (letter pairs of
+    both), so to reach a threshold t the word overlap must be at least some j > 0, and
+    names of m and n words share at least j / (1 + j) * (m + n) of them. With the words
+    of a name from the rarest on, the rarest shared one stands so early in both names
+    that as many may follow; names meet by such words only, and only by the rarest they
+    share; a word of many names is dealt over several keys. Pairs whose shared words and
+    letter pairs leave the threshold out of reach go before the similarity is taken.
+    Thresholds that need no shared word at all are refused.
     """
-    j = (threshold - 1e-6 - 0.55) / 0.6
-    if j <= 0:
+    if threshold - 1e-6 <= 0.55:
         raise ValueError("threshold must be above 0.55")
-    reach = (1.0 + j) / j
 
     def clean(c: str) -> Column:
         return F.lower(text.squeeze(F.col(c)))
 
+    def split(c: str) -> Column:
+        return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
     asked = new.select(clean("name").alias("name")).distinct()
+    asked = durable(asked.withColumn("_ga", _numbered_bigrams(F.col("name"))))
     held = old.groupBy(clean("name").alias("old_name")).agg(F.min("key").alias("existing_key")).filter(F.col("old_name") != "")
-
-    def words(df: DataFrame, name: str) -> DataFrame:
-        return df.select(name, F.posexplode(F.filter(F.split(name, r"\s+"), lambda w: w != "")).alias("_i", "word"))
-
-    index = words(asked, "name").groupBy("name").agg(F.count(F.lit(1)).alias("_m"), F.collect_set("word").alias("_s")).select(
-        "name", "_m", F.explode("_s").alias("word")
-    )
+    held = durable(held.withColumn("_gb", _numbered_bigrams(F.col("old_name"))))
+
+    def shapes(df: DataFrame, name: str) -> tuple[int, list]:
+        """Length of the longest name, and each number of words and of repeated ones."""
+        n = F.size(split(name))
+        found = df.select(F.length(name).alias("l"), n.alias("n"), (n - F.size(F.array_distinct(split(name)))).alias("more"))
+        rows = found.groupBy("n", "more").agg(F.max("l").alias("l")).collect()
+        return max([r["l"] for r in rows], default=1), [(r["n"], r["more"]) for r in rows]
+
+    longest_new, new_shapes = shapes(asked, "name")
+    longest_old, old_shapes = shapes(held, "old_name")
+    letters = 1.0 - 1.0 / max(longest_new + longest_old, 1)
+    j = (threshold - 1e-6 - 0.15 - 0.4 * letters) / 0.6
+    need = F.greatest(F.ceil((F.col("_m") + F.col("_n")) * (j / (1.0 + j)) - 1e-9), F.lit(1)).cast("int").alias("_need")
+
+    def each(values: list, names: list[str]) -> Column:
+        rows = [F.struct(*[F.lit(v).alias(c) for v, c in zip(row, names)]) for row in values]
+        return F.inline(F.array(*rows) if rows else F.array().cast(f"array<struct<{','.join(f'{c}:int' for c in names)}>>"))
+
+    index = asked.select("name", "_ga", F.size(split("name")).alias("_m"), F.explode(F.array_distinct(split("name"))).alias("word"))
     common = index.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    rare_first = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), "word", "_i")))
-    left = F.col("_n") - F.col("_p")
+    early = F.col("_u") + F.col("_more") - F.col("_need") + 1
+    deals = F.ceil(F.col("_x._df") / WORD_NAMES).cast("int")
+    index = (
+        index.join(common, "word").groupBy("name", "_m").agg(F.array_sort(F.collect_list(F.struct("_df", "word"))).alias("_w"), F.first("_ga").alias("_ga"))
+        .select("name", "_ga", "_m", "_w", F.size("_w").alias("_u"), each(old_shapes, ["_n", "_more"])).select("*", need)
+        .filter((early >= 1) & (F.col("_need") <= F.col("_n")))
+        .select("name", "_ga", "_m", F.col("_w.word").alias("_wa"), "_n", "_more", F.explode(F.slice("_w", 1, F.least(early, F.col("_u")))).alias("_x"))
+        .select("name", "_ga", "_m", "_wa", "_n", "_more", F.col("_x.word").alias("word"), F.pmod(F.xxhash64("name"), deals).cast("int").alias("_deal"))
+    )
+    rare_first = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "word", "_i")))
     probes = (
-        words(held, "old_name").join(common, "word", "left").groupBy("old_name").agg(rare_first.alias("_w"))
-        .select("old_name", F.size("_w").alias("_n"), F.posexplode("_w").alias("_p", "_x"))
-        .select("old_name", F.col("_x.word").alias("word"), (left * reach - F.col("_n") + 1e-9).alias("_most"))
-        .filter(F.col("_most") >= 1)
-        .groupBy("old_name", "word").agg(F.max("_most").alias("_most"))
+        held.select("old_name", "_gb", F.posexplode(split("old_name")).alias("_i", "word")).join(common, "word", "left")
+        .groupBy("old_name").agg(rare_first.alias("_w"), F.first("_gb").alias("_gb"))
+        .select("old_name", "_gb", F.transform("_w", lambda x: F.struct(x["_df"].alias("_df"), x["word"].alias("word"))).alias("_w"), each(sorted({(m,) for m, _ in new_shapes}), ["_m"]))
+        .select("*", F.size("_w").alias("_n"), (F.size("_w") - F.size(F.array_distinct("_w"))).alias("_more")).select("*", need)
+        .filter(F.col("_need") <= F.col("_n"))
+        .select("old_name", "_gb", F.col("_w.word").alias("_wb"), "_n", "_more", "_m", "_need",
+                F.explode(F.array_distinct(F.slice("_w", 1, F.col("_n") - F.col("_need") + 1))).alias("_x"))
+        .filter("_x._df > 0")
+        .select("old_name", "_gb", "_wb", "_n", "_more", "_m", "_need", F.col("_x.word").alias("word"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal"))
     )
-    met = probes.join(index, "word").filter(F.col("_m") <= F.col("_most")).select("name", "old_name").distinct()
-    pairs = met.filter(_highest_similarity(F.col("name"), F.col("old_name")) >= threshold - 1e-6)
+    shared = F.array_intersect("_wa", "_wb")
+    most = F.least(F.size(shared) + F.col("_more"), F.col("_n"))
+    of_letters = F.size("_ga") + F.size("_gb")
+    reached = most / (F.col("_m") + F.col("_n") - most) * 0.6 + F.when(of_letters > 0, 2 * F.size(F.array_intersect("_ga", "_gb")) / of_letters).otherwise(0.0) * 0.4 + 0.15
+    met = (
+        probes.join(index, ["word", "_deal", "_m", "_n", "_more"])
+        .filter((most >= F.col("_need")) & (F.get(shared, F.lit(0)) == F.col("word")))
+        .filter(reached >= threshold - 1e-6)
+        .select("name", "old_name")
+    )
+
+    def by_letters(df: DataFrame, name: str, letters: str) -> DataFrame:
+        same = F.when(F.length(name) < 2, F.xxhash64(name)).otherwise(F.xxhash64(F.array_sort(letters)))
+        return df.select(name, same.alias("_letters"))
+
+    pairs = met.unionByName(by_letters(asked, "name", "_ga").join(by_letters(held, "old_name", "_gb"), "_letters").select("name", "old_name")).distinct()
     scored = pairs.withColumn("similarity", F.round(name_similarity(F.col("name"), F.col("old_name")), 6)).filter(
         F.col("similarity") >= threshold
     )
-    best = scored.join(held, "old_name").groupBy("name").agg(
+    best = scored.join(held.drop("_gb"), "old_name").groupBy("name").agg(
         F.max("similarity").alias("similarity"),
         F.max_by("existing_key", F.struct("similarity", "existing_key")).alias("existing_key"),
     )

@@ -39,3 +39,18 @@ def test_a_word_of_every_name_pairs_no_long_names(spark, monkeypatch):
     monkeypatch.setattr(pr, "name_similarity", failing)
     out = pr.dedup_procedures(new, old, 0.7)
     assert compared and out.filter("decision = 'create'").count() == 50
+
+
+def test_common_words_pair_only_names_that_share_enough(spark, monkeypatch):
+    """Names that share two common words of five, or three and few letters, are not compared; repeated words and names of the same letter pairs are."""
+    new = [(f"n{i}", f"check the {a}{a}{a} {b}{b} {a}{b}{a}{b}", "t") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "ijklmnop")]
+    old = [(f"o{i}", f"check the {a}{a}{a} {b}{b} {a}{b}{a}{b}", "t") for i, (a, b) in enumerate((a, b) for a in "qrstuv" for b in "wxyz")]
+    make = lambda rows: spark.createDataFrame(rows, "key string, name string, trigger string")
+    with monkeypatch.context() as m:
+        m.setattr(pr, "name_similarity", lambda a, b: F.raise_error(F.concat(a, b)).cast("double"))
+        assert pr.dedup_procedures(make(new), make(old), 0.7).filter("decision = 'create'").count() == len(new)
+    monkeypatch.setattr(pr, "WORD_NAMES", 7)  # common words over several keys
+    extra = [("p0", "check the the the build", "t"), ("p1", "check the log of tests", "t"), ("p2", "x", "t"), ("p3", "", "t"), ("p4", "run 😀😀 é logs", "t")]
+    held = [("q0", "check the the the guild", "t"), ("q1", "check of the log tests", "t"), ("q2", "y", "t"), ("q3", "x", "t"), ("q4", "run 😀😀 é log", "t"), ("q5", "check the build the the", "t")]
+    got = pr.dedup_procedures(make(new + extra), make(old + held), 0.7).filter("key like 'p%'").collect()
+    assert {r["key"]: r["existing_key"] for r in got} == {"p0": "q5", "p1": "q1", "p2": "q3", "p3": None, "p4": "q4"}
